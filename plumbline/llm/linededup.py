@@ -75,7 +75,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """docs with later repeated runs of lines deleted from the text; beside all columns: _n_lines and _n_removed."""
     hashed = written(line_hashes(docs, key, text), "lines")
     found = written(repeated(hashed, window, grain), "gone")
-    met = docs.join(found.select(F.col("_key").alias("_k"), "_th", "gone"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text].cast("string")) == F.col("_th")), "left")
+    # texts are merged with their deletions at every size: a plan that broadcasts them while they are few would not hold later
+    met = docs.join(found.select(F.col("_key").alias("_k"), "_th", "gone").hint("merge"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text].cast("string")) == F.col("_th")), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     left = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     n_lines = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long")
