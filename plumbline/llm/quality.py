@@ -189,5 +189,5 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> DataFrame:
     """The documents that pass, with their own columns. Verdicts meet the rows by (key, checksum of the text), so repeated keys stay right."""
     slim = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
-    verdict = judged(written(measured(slim, "_text", path).drop("_text"), "quality"), "_lang").where("kept").select("_k", "_h").distinct()
+    verdict = judged(written(measured(slim, "_text", path).drop("_text"), "quality"), "_lang").where("kept").select("_k", "_h").distinct().hint("merge")
     return docs.join(verdict, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")), "left_semi")
