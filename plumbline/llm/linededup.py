@@ -76,7 +76,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     hashed = written(line_hashes(docs, key, text), "lines")
     found = written(repeated(hashed, window, grain), "gone")
     # texts are merged with their deletions at every size: a plan that broadcasts them while they are few would not hold later
-    met = docs.join(found.select(F.col("_key").alias("_gone_k"), F.col("_th").alias("_gone_t"), F.col("gone").alias("_gone")).hint("merge"), docs[key].eqNullSafe(F.col("_gone_k")) & (F.xxhash64(docs[text].cast("string")) == F.col("_th")), "left")
+    met = docs.join(found.select(F.col("_key").alias("_gone_k"), F.col("_th").alias("_gone_t"), F.col("gone").alias("_gone")).hint("merge"), docs[key].eqNullSafe(F.col("_gone_k")) & (F.xxhash64(docs[text].cast("string")) == F.col("_gone_t")), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     n_lines = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long")

@@ -118,7 +118,7 @@ def test_equal_substrings_share_phrases():
 
 
 def test_personal_data():
-    text = "x a.b@c.org y 10.0.0.256 z 10.0.0.25 4111 1111 1111 1111 and +1 (555) 123-4567, password=3f9a8b7c6d"
+    text = "x a.b@c.org y 10.0.0.256 z 10.0.0.25 card 4111 1111 1111 1111 and +1 (555) 123-4567, password=3f9a8b7c6d"
     base, every = pii.spans(text)
     assert [k for _, k, _ in base] == ["email", "ip", "card", "phone"] and [k for _, k, _ in every][-1] == "secret"
     assert pii.spans("Version 3.2, page 12. It was at home in 1999.")[1] == []
