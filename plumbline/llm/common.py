@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -83,7 +85,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Cache(dict):
     """A dict filled in batches by one function and emptied when it holds `limit` entries, so it never grows with the corpus."""
 
-    def __init__(self, fill: Callable[[list[str]], list], limit: int = 300_000):
+    def __init__(self, fill: Callable[[list[str]], list], limit: int = 100_000):
         super().__init__()
         self.fill, self.limit = fill, limit
 
@@ -113,7 +115,14 @@ def ragged(blobs: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarra
     return pool[index], n
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through many tasks and stages, and its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """Cuts a batch into parts of about `limit` bytes of text (one row at least), so that memory follows neither rows nor text."""
     lens = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(lens)
@@ -123,3 +132,4 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
         end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    give_back()

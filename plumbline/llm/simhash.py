@@ -57,7 +57,6 @@ def simhash_texts(col: pa.Array) -> np.ndarray:
     out = np.zeros(len(col), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        # bits of 8 hashes at a time would lose carries; whole columns are summed by document
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts = np.add.reduceat(bits, bounds[:-1][some], axis=0, dtype=np.int32)
         over = (2 * counts > n[some, None]).astype(np.uint8)
@@ -71,7 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
+            for part in slices(batch, "_text", 2 << 20):
                 fp = simhash_texts(as_string(part.column("_text"))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["_key", "fp"])
 
