@@ -30,9 +30,6 @@ COINS = 4
 N_SLOTS = sum(SLOTS.values())
 _rng = np.random.default_rng(20240229)
 ODD, PLUS = (_rng.integers(0, 1 << 63, N_SLOTS, np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, N_SLOTS, np.uint64))
-#: of bit i: 2 ** i mod 67 is different for every i under 64
-_BIT = np.zeros(67, np.uint64)
-_BIT[[pow(2, i, 67) for i in range(64)]] = np.arange(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,12 +48,13 @@ def next_level(a: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a, first = np.where(run > 1, mix(a[at] + run * np.uint64(0x9E3779B97F4A7C15)), a[at]), first[at]
     label = a
     for _ in range(COINS):
+        one = label.dtype.type(1)
         before = np.empty_like(label)
-        before[0], before[1:] = label[0] ^ np.uint64(1), label[:-1]
-        before = np.where(first, label ^ np.uint64(1), before)
+        before[0], before[1:] = label[0] ^ one, label[:-1]
+        before[first] = label[first] ^ one
         differ = label ^ before
-        bit = _BIT[((differ & (~differ + np.uint64(1))) % np.uint64(67)).astype(np.int64)]
-        label = (bit << np.uint64(1)) | ((label >> bit) & np.uint64(1))
+        bit = np.bitwise_count((differ & (~differ + one)) - one)
+        label = (bit << np.uint8(1)) | ((label >> bit) & one).astype(np.uint8)  # under 128 from the first toss on
     up = np.empty(len(label), bool)
     up[0], up[1:] = True, label[1:] > label[:-1]
     down = np.empty(len(label), bool)
@@ -83,7 +81,8 @@ def fingerprint_arrays(texts: list[np.ndarray]) -> np.ndarray:
         a, first = next_level(a, first)
         starts = np.flatnonzero(first)
         for _ in range(SLOTS.get(level, 0)):
-            out[full, slot] = (np.minimum.reduceat(mix(a * ODD[slot] + PLUS[slot]), starts) & np.uint64(0xFFFF)).astype(np.uint16)
+            least = np.minimum.reduceat(a * ODD[slot] + PLUS[slot], starts)  # names are well mixed, so a multiplication orders them anew
+            out[full, slot] = (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
             slot += 1
     return out
 
