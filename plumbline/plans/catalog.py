@@ -280,7 +280,12 @@ def weighted_quantile(spark, d):
     return survey.weighted_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", F.col("l_quantity"), {"q25": 0.25, "q50": 0.5})
 
 
-@query()
+@query("""WITH s AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS t FROM s),
+med AS (SELECT l_returnflag, min(v) FILTER (c >= 0.5 * t - 1e-9) AS median FROM r GROUP BY 1), ps AS (SELECT l_returnflag, l_linestatus, l_suppkey, sum(CASE WHEN l_extendedprice <= median THEN l_quantity ELSE 0 END) AS wy, sum(l_quantity) AS wx FROM lineitem JOIN med USING (l_returnflag) GROUP BY 1, 2, 3),
+z AS (SELECT *, (wy - sum(wy) OVER d / sum(wx) OVER d * wx) / sum(wx) OVER d AS z FROM ps WINDOW d AS (PARTITION BY l_returnflag)), u AS (SELECT *, count(*) OVER st AS h, avg(z) OVER st AS mh, avg(z) OVER (PARTITION BY l_returnflag) AS m FROM z WINDOW st AS (PARTITION BY l_returnflag, l_linestatus)),
+p AS (SELECT l_returnflag, CASE WHEN count(*) >= 2 THEN sqrt(sum(CASE WHEN h > 1 THEN h / (h - 1)::DOUBLE * (z - mh) ** 2 ELSE (z - m) ** 2 END)) END AS p FROM u GROUP BY 1),
+e AS (SELECT l_returnflag, min(v) FILTER (c >= greatest(0.5 - 1.96 * p, 0) * t - 1e-9) AS low, min(v) FILTER (c >= least(0.5 + 1.96 * p, 1) * t - 1e-9) AS high FROM r JOIN p USING (l_returnflag) GROUP BY 1)
+SELECT l_returnflag, median, low, high, round((high - low) / (2 * 1.96::DOUBLE), 4) AS se FROM med JOIN e USING (l_returnflag)""")
 def median_woodruff(spark, d):
     m = survey.woodruff_median(table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus", "l_suppkey", "l_extendedprice", F.col("l_quantity"))
     return m.select("l_returnflag", "median", "low", "high", F.round("se", 4).alias("se"))
