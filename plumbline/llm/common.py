@@ -82,39 +82,46 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(np.diff(offsets) > 0, out, 0)
 
 
-class Cache(dict):
-    """A dict filled in batches by one function and emptied when it holds `limit` entries, so it never grows with the corpus."""
-
-    def __init__(self, fill: Callable[[list[str]], list], limit: int = 100_000):
-        super().__init__()
-        self.fill, self.limit = fill, limit
-
-    def take(self, keys: list[str]) -> list:
-        missing = [k for k in keys if k not in self]
-        if not missing:
-            return [self[k] for k in keys]
-        fresh = dict(zip(missing, self.fill(missing), strict=True))
-        out = [fresh[k] if k in fresh else self[k] for k in keys]
-        if len(self) + len(fresh) > self.limit:
-            self.clear()
-        if len(fresh) <= self.limit:
-            self.update(fresh)
-        return out
-
-
-def ragged(blobs: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenates blobs[c] for c in codes as an array of dtype; also the count of items of each."""
-    size = np.dtype(dtype).itemsize
-    lens = np.fromiter((len(b) for b in blobs), np.int64, len(blobs)) // size
-    starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
-    pool = np.frombuffer(b"".join(blobs), dtype)
-    n = lens[codes]
+def gather(pool: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs `rows` of a pool whose runs have lengths `lens`, one after another; also the length of each."""
+    starts, n = np.cumsum(lens) - lens, lens[rows]
     ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    index = np.arange(total, dtype=np.int64) + np.repeat(starts[codes] - (ends - n), n)
+    index = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) + np.repeat(starts[rows] - (ends - n), n)
     return pool[index], n
 
 
+class Pool:
+    """Ids of words, found in batches by `fill` (distinct words -> all their ids in order, and how many each has).
+
+    Words seen twice in a batch are kept, until `limit` are held and the pool starts anew, so it never grows with the corpus."""
+
+    def __init__(self, fill: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 200_000):
+        self.fill, self.limit, self.dtype = fill, limit, np.dtype(dtype)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words, self.ids, self.lens = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def take(self, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words[c] for all codes c in order; also the count of ids of each."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        row = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        row[new] = len(self.words) + np.arange(int(new.sum()))
+        missing = words.filter(pa.array(new))
+        fresh, fresh_n = self.fill(missing) if len(missing) else (self.ids[:0], self.lens[:0])
+        pool, lens = np.concatenate((self.ids, fresh)), np.concatenate((self.lens, fresh_n))
+        out = gather(pool, lens, row[codes])
+        keep = np.flatnonzero(new & (np.bincount(codes, minlength=len(words)) > 1))
+        if len(self.words) + len(keep) > self.limit:
+            self._empty()
+        elif len(keep):
+            ids, n = gather(pool, lens, row[keep])
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(keep))])
+            self.ids, self.lens = np.concatenate((self.ids, ids)), np.concatenate((self.lens, n))
+        return out
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker lives through many tasks and stages, and its peak would stay with it."""
     pa.default_memory_pool().release_unused()

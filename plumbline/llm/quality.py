@@ -15,6 +15,7 @@ result's names are dropped unless they are the two inputs.
 from __future__ import annotations
 
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Cache, as_string, coded, ragged, slices, sums, words_of, written
+from plumbline.llm.common import Pool, as_string, coded, slices, sums, words_of, written
 
 TOKENIZER = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -35,8 +36,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 @cache
-def _pieces(path: str | None) -> Cache:
-    """word -> its piece ids as little-endian 16-bit integers, with 32768 added where the piece is a byte."""
+def _pieces(path: str | None) -> Pool:
+    """word -> its piece ids as 16-bit integers, with 32768 added where the piece is a byte."""
     import sentencepiece
 
     if path is None:
@@ -46,11 +47,12 @@ def _pieces(path: str | None) -> Cache:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     is_byte = np.array([32768 * model.is_byte(i) for i in range(model.get_piece_size())], np.uint16)
 
-    def fill(words: list[str]) -> list[bytes]:
-        ids = model.encode(words, num_threads=1)
-        return [(a + is_byte[a]).astype("<u2").tobytes() for a in (np.array(x, np.uint16) for x in ids)]
+    def fill(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = model.encode(words.to_pylist(), num_threads=1)
+        ids = np.fromiter(chain.from_iterable(found), np.uint16)
+        return ids + is_byte[ids], np.fromiter(map(len, found), np.int64, len(found))
 
-    return Cache(fill)
+    return Pool(fill, "<u2")
 
 
 def _repeated(codes: np.ndarray, offsets: np.ndarray, n_codes: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def measure_texts(col: pa.Array, path: str | None = None) -> dict[str, np.ndarra
     first = np.unique((doc[has] << 32) | lines[has]) >> 32
     n_dup = np.bincount(doc[has], minlength=len(col)) - np.bincount(first, minlength=len(col))
 
-    ids, n = ragged(_pieces(path).take(words.to_pylist()), codes, "<u2")
+    ids, n = _pieces(path).take(words, codes)
     ends = np.concatenate(([0], np.cumsum(n)))[offsets]
     n_tokens = np.diff(ends)
     n_byte = sums((ids >> 15).astype(np.int64), ends)

@@ -22,7 +22,7 @@ def docs(spark):
 @pytest.mark.parametrize(("name", "by_word"), [(BYTE_BPE, False), (WORD_BPE, True)])
 def test_chunked_ids_equal_whole_text_ids(name, by_word):
     rng = random.Random(1)
-    texts = ["a  b", "x \n y", "x\n \ny", "a\r\nb  c\n\nd", "it's they'll <|endoftext|> x", "a￿b c", "\x1c a \x1c\x1c b"] + ["".join(rng.choice(" \n\tab.é1\x0b'") for _ in range(30)) for _ in range(200)]
+    texts = ["a  b", "x \n y", "x\n \ny", "a\r\nb  c\n\nd", "it's they'll <|endoftext|> x", "a￿b c", "\x1c a \x1c\x1c b", "a♥ b ♥ ♥♥c"] + ["".join(rng.choice(" \n\tab.é1\x0b'") for _ in range(30)) for _ in range(200)]
     for part in ([t for t in texts if "￿" not in t], texts):
         ids, at = encode(pa.array(part, pa.string()), tokenizer_path(name), by_word)
         for i, t in enumerate(part):
