@@ -54,13 +54,32 @@ def busiest_day(df: DataFrame, cell: list[str], cluster: str, day: str, least_ot
 
 
 def near_pairs(df: DataFrame, cluster: str, parent: str, ident: str, items: list[str], common: int, equal: float) -> DataFrame:
-    """Pairs within a cluster, of different parents, that agree on nearly all items answered by both. Clusters are sampling units of bounded size."""
-    a, b = df.alias("a"), df.alias("b")
-    both = [F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull() for c in items]
+    """All pairs within a cluster, of different parents, that agree on nearly all items answered by both.
+
+    Equal answer vectors are grouped first, so only distinct ones are compared. A near pair agrees on `least` items or
+    more; of k - least + 1 blocks of items it then agrees on a whole one, so vectors meet by (cluster, block) only and
+    no pair is lost. Each pair of vectors is taken at its first equal block. What grows beyond the rows is the output.
+    equal * common must be above 0."""
+    k = len(items)
+    least = next((m for m in range(1, k + 1) if m >= equal * common), k)
+    blocks = [items[i :: k - least + 1] for i in range(k - least + 1)]
+    own = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("_c"), F.col(parent).alias("_p"), F.col(ident).alias("_i"), F.struct(*items).alias("_v"))
+    answered = sum((F.when(F.col(f"_v.{c}").isNotNull(), 1).otherwise(0) for c in items), F.lit(0))
+    vectors = own.where(answered >= common).select("_c", "_v").distinct()
+    keys = [F.when(F.forall(F.array(*[F.col(f"_v.{c}").isNotNull() for c in block]), lambda x: x), F.xxhash64(*[F.col(f"_v.{c}") for c in block])) for block in blocks if block]
+    keyed = vectors.select("_c", "_v", F.posexplode(F.array(*keys)).alias("_b", "_k")).where(F.col("_k").isNotNull())
+    both = [F.col(f"_x.{c}").isNotNull() & F.col(f"_y.{c}").isNotNull() for c in items]
+    hit = {c: F.coalesce(F.col(f"_x.{c}") == F.col(f"_y.{c}"), F.lit(False)) for c in items}
     n = sum((F.when(x, 1).otherwise(0) for x in both), F.lit(0))
-    same = sum((F.when(x & (F.col(f"a.{c}") == F.col(f"b.{c}")), 1).otherwise(0) for x, c in zip(both, items, strict=True)), F.lit(0))
-    met = a.join(b, (F.col(f"a.{cluster}") == F.col(f"b.{cluster}")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (F.col(f"a.{parent}") != F.col(f"b.{parent}")))
-    return met.where((n >= common) & (same >= equal * n)).select(F.col(f"a.{cluster}").alias(cluster), F.col(f"a.{ident}").alias("first_id"), F.col(f"b.{ident}").alias("second_id"))
+    same = sum((F.when(x, 1).otherwise(0) for x in hit.values()), F.lit(0))
+    first = F.coalesce(*[F.when(F.forall(F.array(*[hit[c] for c in block]), lambda x: x), i) for i, block in enumerate(b for b in blocks if b)])
+    met = keyed.withColumnRenamed("_v", "_x").join(keyed.withColumnRenamed("_v", "_y"), ["_c", "_b", "_k"])
+    near = met.where((F.col("_x") <= F.col("_y")) & (n >= common) & (same >= equal * n) & (first == F.col("_b"))).select("_c", "_x", "_y")
+    a = own.select("_c", F.col("_v").alias("_x"), F.col("_p").alias("_pa"), F.col("_i").alias("_ia"))
+    b = own.select("_c", F.col("_v").alias("_y"), F.col("_p").alias("_pb"), F.col("_i").alias("_ib"))
+    order = F.when(F.col("_x") == F.col("_y"), F.col("_ia") < F.col("_ib")).otherwise(F.col("_ia") != F.col("_ib"))
+    pairs = near.join(a, ["_c", "_x"]).join(b, ["_c", "_y"]).where((F.col("_pa") != F.col("_pb")) & order)
+    return pairs.select(F.col("_c").alias(cluster), F.least("_ia", "_ib").alias("first_id"), F.greatest("_ia", "_ib").alias("second_id"))
 
 
 def drift(df: DataFrame, by: list[str], period: str, value: str) -> DataFrame:

@@ -374,7 +374,7 @@ def temporal_drift(spark, d):
 @query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_orderkey * 100 + l_linenumber AS id, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem WHERE l_suppkey <= 20)
 SELECT a.l_suppkey, a.id AS first_id, b.id AS second_id FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND a.id < b.id AND a.l_orderkey <> b.l_orderkey WHERE (a.l_quantity = b.l_quantity)::INT + (a.l_discount = b.l_discount)::INT + (a.l_tax = b.l_tax)::INT + (a.l_returnflag = b.l_returnflag)::INT >= 4""")
 def near_duplicate_pairs(spark, d):
-    l = table(spark, d, "lineitem").where("l_suppkey <= 20").withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    l = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
     return clusters.near_pairs(l, "l_suppkey", "l_orderkey", "id", ["l_quantity", "l_discount", "l_tax", "l_returnflag"], 4, 0.95)
 
 
