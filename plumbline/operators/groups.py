@@ -12,11 +12,12 @@ from plumbline.functions.values import hash_id
 def assign(df: DataFrame, levels: list[list[str]], minimum: int = 30) -> DataFrame:
     """df with level (NULL if none is large enough) and group_size. Sizes count all eligible rows, also those assigned earlier.
 
+    A row with a null in a level's dimensions has no group there and backs off to the next level.
     Counts are partial before their shuffle; each level's counts come back by a join that Spark broadcasts if small."""
     out = df
     for i, dims in enumerate(levels):
         sizes = df.groupBy(*dims).agg(F.count("*").alias(f"_n{i}"))
-        out = out.join(sizes, dims)
+        out = out.join(sizes, dims, "left")
     level = F.coalesce(*[F.when(F.col(f"_n{i}") >= minimum, i) for i in range(len(levels))])
     size = F.coalesce(*[F.when(F.col(f"_n{i}") >= minimum, F.col(f"_n{i}")) for i in range(len(levels))])
     return out.withColumns({"level": level, "group_size": size}).select(*df.columns, "level", "group_size")
