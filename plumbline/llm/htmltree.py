@@ -4,9 +4,10 @@ All pages of a host are merged into one tree of style paths (tag and class of ev
 each path the tree counts how many pages show which presentation (the tags of its children) and which content (a
 hash of its text). A node's importance is the entropy of these counts over the pages that have it, divided by the
 logarithm of their number, so content that differs from page to page is near 1 and a repeated menu near 0. A branch
-is removed from a page if its tag, role or class names it as furniture, or if it lies outside the article and its
-importance is under `least` on a host with at least `min_pages` pages of it. What is left of the article (or, where
-no element is marked as one, of the page) is the text.
+is removed from a page if its tag, role or class names it as furniture, or if its importance is under `least` on a host
+with at least `min_pages` pages of it. The article (or main) element itself and what it lies in are not judged by
+importance, only the branches inside. What is left of the article (or, where no element is marked as one, of the
+page) is the text.
 
 Rows of the tree are counted by (host, path, content) before they meet by (host, path), so a host with a third of all
 pages spreads over the tasks.
@@ -59,13 +60,13 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """Blocks of a page in order: (text, path, noise, in an article, in main), and the nodes of its style tree."""
+    """Blocks of a page in order: (text, path, noise, path of its article, path of its main, '' if none), and the nodes of its style tree."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, str, str]] = []
         self.nodes: dict[str, tuple[list[str], list[str]]] = {}
         self._parts: list[str] = []
-        self._stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        self._stack: list[tuple[str, str, bool, str, str]] = [("", "", False, "", "")]
         self._read(source)
 
     def _end_block(self) -> None:
@@ -99,7 +100,7 @@ class Page:
             self.nodes.setdefault(path, ([], []))[0].append(style)
             path = f"{path}/{style}"
             self.nodes.setdefault(path, ([], []))
-            self._stack.append((tag, path, noise or is_noise, article or is_article, main or tag in MAIN_TAGS or 'role="main"' in attributes))
+            self._stack.append((tag, path, noise or is_noise, article or (path if is_article else ""), main or (path if tag in MAIN_TAGS or 'role="main"' in attributes else "")))
         elif attributes:
             _, is_noise, _ = _marks(tag, attributes)
             self._stack.append((tag, path, noise or is_noise, article, main))
@@ -171,22 +172,20 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def main_text(page: Page, low: frozenset[str] | set[str]) -> str:
-    """Blocks that are no furniture: of the articles if the page marks any, else of main, else of the page less its unimportant branches."""
-    clean = [b for b in page.blocks if not b[2]]
-    for i in (3, 4):
-        if inside := [b for b in clean if b[i]]:
-            return "\n".join(b[0] for b in inside)
-        if any(b[i] for b in page.blocks):
-            return ""
+    """Blocks that are no furniture: of the articles if the page marks any, else of main, else of the page; each less its unimportant branches."""
 
-    def unimportant(path: str) -> bool:
-        while path:
+    def unimportant(path: str, top: str) -> bool:
+        while len(path) > len(top):
             if path in low:
                 return True
             path = path.rpartition("/")[0]
         return False
 
-    return "\n".join(b[0] for b in clean if not unimportant(b[1]))
+    clean = [b for b in page.blocks if not b[2]]
+    for i in (3, 4):
+        if any(b[i] for b in page.blocks):
+            return "\n".join(b[0] for b in clean if b[i] and not unimportant(b[1], b[i]))
+    return "\n".join(b[0] for b in clean if not unimportant(b[1], ""))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
