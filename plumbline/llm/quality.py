@@ -5,7 +5,9 @@ single bytes, and the entropy of its tokens. A text is rejected when a measure l
 and length (entropy grows with length, so bands are kept for each power of two of the token count). Bands come from
 the whole corpus: for each language and length the median and the median absolute deviation (MAD) of the measure over
 all texts that pass the base rules; the band is median +- `width` MADs, never narrower than the `FLOORS`. Where fewer
-than `min_docs` such texts exist, the band over all languages at that length holds, and if that is as thin, none.
+than `min_docs` such texts exist, the band over all languages at that length holds, and if that is as thin, the band of
+the nearest length that has one, of the language if it has any (of two as near, the shorter). Only where no length has
+`min_docs` such texts in all is there no band.
 
 Edge cases: null or empty text has no words and fails the base rules; a null language is a language of its own;
 repeated rows are measured alike and all returned; an empty table gives an empty result; columns that clash with the
@@ -170,15 +172,26 @@ def outside():
 MAX_BROADCAST_BANDS = 50_000
 
 
+#: Octaves of all token counts there can be in one text.
+OCTAVES = 32
+
+
+def nearest(some: DataFrame, by: list[str], limits: list[str]) -> DataFrame:
+    """by, at (every octave), and x: the band of the nearest octave with its distance `far`."""
+    every = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(OCTAVES - 1))))
+    return every.groupBy(*by, "at").agg(F.min(F.struct(F.abs(F.col("octave") - F.col("at")).alias("far"), "octave", *limits)).alias("x"))
+
+
 def judged(features: DataFrame, lang: str = "lang") -> DataFrame:
     """features with base_failed and kept. features must be cheap to read twice (written)."""
     limits = [f"{m}_{c}" for m in MEASURES for c in ("lo", "hi")]
     known = written(bands(features, lang), "bands")
-    hint = F.broadcast if known.count() <= MAX_BROADCAST_BANDS else (lambda df: df)
-    own = known.where(~F.col("all_languages")).select(F.col("lang").alias("_l"), F.col("octave").alias("_o"), *[F.col(c).alias(f"own_{c}") for c in limits])
-    every = known.where("all_languages").select(F.col("octave").alias("_e"), *[F.col(c).alias(f"all_{c}") for c in limits])
+    hint = F.broadcast if known.count() * OCTAVES <= MAX_BROADCAST_BANDS else (lambda df: df)
+    own = nearest(known.where(~F.col("all_languages")), ["lang"], limits).select(F.col("lang").alias("_l"), F.col("at").alias("_o"), F.col("x").alias("_own"))
+    every = nearest(known.where("all_languages"), [], limits).select(F.col("at").alias("_e"), F.col("x").alias("_all"))
     joined = features.join(hint(own), F.col(lang).eqNullSafe(F.col("_l")) & (octave() == F.col("_o")), "left").join(hint(every), octave() == F.col("_e"), "left")
-    filled = joined.withColumns({c: F.coalesce(F.col(f"own_{c}"), F.col(f"all_{c}")) for c in limits}).withColumn("base_failed", base_failed())
+    band = F.when(F.col("_own.far") == 0, F.col("_own")).when(F.col("_all.far") == 0, F.col("_all")).otherwise(F.coalesce("_own", "_all"))
+    filled = joined.withColumn("_band", band).withColumns({c: F.col(f"_band.{c}") for c in limits}).withColumn("base_failed", base_failed())
     return filled.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside(), F.lit(False))).select(*features.columns, "base_failed", "kept")
 
 
