@@ -149,7 +149,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One document of each class: the one with the least (doc_id, checksum of the text). Repeated rows keep one copy."""
     slim = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_id"), F.col(text).cast("string").alias("_text"))
-    found = classes(written(fingerprints(slim, "_id", "_text"), "prints"), "_id", radius)
+    return chosen_rows(docs, classes(written(fingerprints(slim, "_id", "_text"), "prints"), "_id", radius), key, text)
+
+
+def chosen_rows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents whose (key, checksum of the text) is a component_id of `found`; one copy of each."""
     chosen = found.select(F.col("component_id").alias("c")).distinct().select(F.xxhash64(F.coalesce(F.col("c.k").cast("string"), F.lit(""))).alias("_a"), F.col("c.k").isNull().alias("_b"), F.col("c.h").alias("_c"), F.col("c.k").alias("_k"))
     # the merge leaves rows of one (id, checksum) together, so repeated rows are dropped without another shuffle
     own = docs.withColumns({"_a": F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), "_b": F.col(key).isNull(), "_c": F.xxhash64(text)})
