@@ -90,13 +90,46 @@ def test_packing_is_whole_and_near_its_bound(spark, docs):
     assert rows["sequence_id"].nunique() <= rows["length"].sum() / 2048 * 1.02 + 1
 
 
+def valid(bins, sizes, capacity):
+    return sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in bins)
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 700, 300).tolist()
-    bins = packing.evolve(sizes, [], 1000, 1)
-    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 1000 for b in bins)
-    child = packing.crossover(bins, bins[::-1], sizes, 1000, rng)
-    assert sorted(i for b in child for i in b) == list(range(300))
+    bins, made, bound = packing.evolve(sizes, [], 1000, 1)
+    assert valid(bins, sizes, 1000) and made > 0 and len(bins) >= bound
+    assert valid(packing.crossover(bins, bins[::-1], sizes, 1000, rng), sizes, 1000)
+
+
+def test_evolution_beats_best_fit_where_that_is_not_optimal():
+    """Triplets that fill a bin exactly: best fit decreasing needs more bins, the genetic search fewer."""
+    rng, fit, won = np.random.default_rng(4), 0, 0
+    for _ in range(5):
+        sizes = []
+        for _ in range(40):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        bins, made, bound = packing.evolve(sizes, [], 1000, 3)
+        assert valid(bins, sizes, 1000) and bound == 40 and made > 50
+        fit += len(packing.fitted(order, sizes, 1000))
+        won += len(bins)
+    assert 5 * 40 <= won < 0.95 * fit
+
+
+def test_migration_continues_open_groups_only(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(s)) for i, s in enumerate(rng.integers(250, 500, 400))]
+    done = packing.solved(spark.createDataFrame(rows, "item long, length long"), 1000, 100, 2, 3)
+    got = packing.report(done).collect()
+    assert all(r["crossovers"] > 0 and r["n_bins"] >= r["bound"] for r in got)
+    assert all((r["rounds"] > 1) == (done[0].where(f"grp = {r['grp']}").agg({"n_bins": "min"}).first()[0] > r["bound"]) for r in got)
+    assert {r["rounds"] for r in got} != {1}
+    for a, b in zip(done, done[1:]):
+        least = lambda d: {r["grp"]: r["m"] for r in d.groupBy("grp").agg({"n_bins": "min"}).withColumnRenamed("min(n_bins)", "m").collect()}
+        assert all(v <= least(a)[g] for g, v in least(b).items())
 
 
 def test_model_is_normalised_and_beats_the_base_on_held_out(spark):
