@@ -4,13 +4,19 @@ All pages of a host are merged into one tree of style paths (tag and class of ev
 each path the tree counts how many pages show which presentation (the tags of its children) and which content (a
 hash of its text). A node's importance is the entropy of these counts over the pages that have it, divided by the
 logarithm of their number, so content that differs from page to page is near 1 and a repeated menu near 0. A branch
-is removed from a page if its tag, role or class names it as furniture, or if its importance is under `least` on a host
-with at least `min_pages` pages of it. The article (or main) element itself and what it lies in are not judged by
+is removed from a page if its importance is under `least` on a host with at least `min_pages` pages of it, or if its
+tag, role or class names it as furniture. The article (or main) element itself and what it lies in are not judged by
 importance, only the branches inside. What is left of the article (or, where no element is marked as one, of the
 page) is the text.
 
-Rows of the tree are counted by (host, path, content) before they meet by (host, path), so a host with a third of all
-pages spreads over the tasks.
+A class or id names furniture if all its parts (between - and _) are furniture names or plain layout words, so
+`site-footer` does and `legal-analysis` does not. A header is furniture wherever it stands, but the headings in an
+article's own header are the article's and stay. Furniture inside a line (a link, a button) goes without cutting the
+block around it.
+
+Paths are 64-bit hashes, made from the parent's, and content hashes are folded upwards as elements close, so a page
+costs time and memory in proportion to its length however deep it is. Rows of the tree are counted by (host, path,
+content) before they meet by (host, path), so a host with a third of all pages spreads over the tasks.
 
 Edge cases: null html is an empty page and has no text; a null or odd url has the host '' ; unclosed and stray tags
 are closed or ignored; a tag cut off by the end of the page is markup; repeated rows count as pages each; an empty
@@ -21,27 +27,39 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from plumbline.llm.common import as_string, slices, written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW = frozenset("script style noscript template textarea iframe object svg math select option button title head canvas audio video".split())
 #: Of these the content is not parsed as markup.
 OPAQUE = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body p div article section main header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hgroup dialog center".split())
-NOISE_TAGS = frozenset("nav header footer aside form dialog menu".split()) | RAW
+NOISE_TAGS = frozenset("nav header footer aside form dialog menu head title".split())
+#: Furniture that may stand inside a line of text.
+INLINE_NOISE = RAW - OPAQUE - NOISE_TAGS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NOISE_NAMES = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header footer masthead sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies disqus respond form search pagination pager skip toolbar copyright legal disclaimer".split())
-ARTICLE_TAGS, MAIN_TAGS = frozenset(["article"]), frozenset(["main"])
+#: Layout words that may stand beside a furniture name.
+LAYOUT_NAMES = frozenset("site page main top bottom left right center box wrap wrapper container inner outer block list item items area section global primary secondary bar slot unit panel row col column link links button buttons icon icons post posts entry article articles content text title small large mobile desktop sticky fixed js is has the".split())
 #: start tag -> open elements that it closes
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}} | {t: {"p"} for t in BLOCK - {"html", "body"}}
 LEAST, MIN_PAGES = 0.3, 10
+#: Up to so many low paths (16 bytes each) go to every task; beyond, pages meet them by (host, salt).
+MAX_BROADCAST, SALTS = 500_000, 32
+WORD = (1 << 64) - 1
 
 
 def host_of(url):
@@ -49,81 +67,146 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(style name, is furniture, is marked as the article or main part)."""
-    if not attributes:
-        return tag, tag in NOISE_TAGS, tag in ARTICLE_TAGS
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-    names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    noise = tag in NOISE_TAGS or found.get("role") in NOISE_ROLES or bool(names & NOISE_NAMES) or "hidden" in found or found.get("aria-hidden") == "true"
-    return tag + ("." + ".".join(sorted(found["class"].split())) if found.get("class") else ""), noise, tag in ARTICLE_TAGS or found.get("role") == "article"
+def attributes_of(source: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), next(filter(None, values), ""))
+    return found
 
 
-class Page:
-    """Blocks of a page in order: (text, path, noise, path of its article, path of its main, '' if none), and the nodes of its style tree."""
+@lru_cache(1 << 14)
+def names_furniture(name: str) -> bool:
+    parts = [p for p in re.split(r"[^a-z]+", name.lower()) if p]
+    return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in LAYOUT_NAMES for p in parts)
+
+
+def marks(tag: str, found: dict[str, str]) -> tuple[str, bool]:
+    """(style name, is furniture by name, role or visibility)."""
+    classes = found.get("class", "").lower().split()
+    noise = found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    noise = noise or any(map(names_furniture, classes)) or names_furniture(found.get("id", "")) or bool(UNSEEN.search(found.get("style", "")))
+    return tag + "".join(f".{c}" for c in sorted(classes)), noise
+
+
+@lru_cache(1 << 16)
+def _hash(text: str) -> int:
+    return xxh64_intdigest(text)
+
+
+def fold(a: int, b: int) -> int:
+    return ((a ^ b) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 ^ (a >> 29)) & WORD
+
+
+class Element:
+    """An open element: its path, its flags (inherited from its parent), what is folded of its children and content, and the block it lies in (home)."""
+
+    __slots__ = ("tag", "path", "home", "block", "heading", "noise", "header", "inline", "article", "main", "low", "low_article", "low_main", "style", "content")
 
-    def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, str, str]] = []
-        self.nodes: dict[str, tuple[list[str], list[str]]] = {}
-        self._parts: list[str] = []
-        self._stack: list[tuple[str, str, bool, str, str]] = [("", "", False, "", "")]
+    def __init__(self, tag: str, parent: Element | None):
+        self.tag, self.block, self.style, self.content = tag, False, 0, 0
+        self.home, self.heading = (self, False) if parent is None else (parent.home, parent.heading or tag in HEADINGS)
+        if parent is None:
+            self.path, self.noise, self.header, self.inline, self.article, self.main, self.low, self.low_article, self.low_main = (1, *[False] * 8)
+        else:
+            self.path, self.noise, self.header, self.inline, self.article, self.main = parent.path, parent.noise, parent.header, parent.inline, parent.article, parent.main
+            self.low, self.low_article, self.low_main = parent.low, parent.low_article, parent.low_main
+
+
+class Page:
+    """Blocks of a page in order, as (text, low, in article, low in it, in main, low in it), without named furniture; and
+    the nodes of its style tree: path -> (presentation, content). low: paths of the host that are unimportant."""
+
+    def __init__(self, source: str, low: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[str, bool, bool, bool, bool, bool]] = []
+        self.nodes: dict[int, tuple[int, int]] = {}
+        self.marked = [False, False]
+        self._low, self._parts, self._open_tags = low, [], Counter()
+        self._stack = [Element("", None)]
         self._read(source)
 
     def _end_block(self) -> None:
-        if self._parts:
-            text = " ".join(entities.unescape("".join(self._parts)).split())
-            self._parts = []
-            if text:
-                _, path, noise, article, main = self._stack[-1]
-                self.blocks.append((text, path, noise, article, main))
-                while path:
-                    self.nodes.setdefault(path, ([], []))[1].append(text)
-                    path = path.rpartition("/")[0]
-
-    def _open(self, tag: str, attributes: str) -> None:
-        if tag in CLOSES:
+        if not self._parts:
+            return
+        parts, self._parts = self._parts, []
+        e = self._stack[-1].home
+        words = entities.unescape("".join([t for t, _ in parts])).split()
+        if not words:
+            return
+        e.content = fold(e.content, xxh64_intdigest(" ".join(words)))
+        self.marked[0] |= e.article
+        self.marked[1] |= e.main
+        if not e.noise and not (e.header and not (e.article and e.heading)):
+            if any(inline for _, inline in parts):
+                words = entities.unescape("".join([t for t, inline in parts if not inline])).split()
+            if words:
+                self.blocks.append((" ".join(words), e.low, e.article, e.low_article, e.main, e.low_main))
+
+    def _pop(self) -> None:
+        e = self._stack.pop()
+        self._open_tags[e.tag] -= 1
+        if e.block:
+            style, content = self.nodes.get(e.path, (0, 0))
+            self.nodes[e.path] = fold(style, e.style), fold(content, e.content)
+            up = self._stack[-1].home
+            up.content = fold(up.content, e.content)
+
+    def _open(self, tag: str, source: str) -> None:
+        if tag in CLOSES and any(self._open_tags[t] for t in CLOSES[tag]):
             closes = CLOSES[tag]
             for i in range(len(self._stack) - 1, 0, -1):
-                own = self._stack[i][0]
+                own = self._stack[i].tag
                 if own in closes:
                     self._end_block()
-                    del self._stack[i:]
+                    while len(self._stack) > i:
+                        self._pop()
                     break
                 if own in BLOCK:
                     break
-        _, path, noise, article, main = self._stack[-1]
+        found = attributes_of(source) if source else {}
+        parent = self._stack[-1]
         if tag in BLOCK or tag in NOISE_TAGS:
             self._end_block()
-            style, is_noise, is_article = _marks(tag, attributes)
-            if tag in ("html", "body"):
-                is_noise = False
-            self.nodes.setdefault(path, ([], []))[0].append(style)
-            path = f"{path}/{style}"
-            self.nodes.setdefault(path, ([], []))
-            self._stack.append((tag, path, noise or is_noise, article or (path if is_article else ""), main or (path if tag in MAIN_TAGS or 'role="main"' in attributes else "")))
-        elif attributes:
-            _, is_noise, _ = _marks(tag, attributes)
-            self._stack.append((tag, path, noise or is_noise, article, main))
+            e = Element(tag, parent)
+            style, noise = marks(tag, found)
+            up = parent.home
+            own = _hash(style)
+            up.style = fold(up.style, own)
+            e.home, e.block, e.inline, e.path = e, True, False, fold(up.path, own)
+            if tag not in ("html", "body"):
+                e.noise = parent.noise or parent.inline or noise or tag in NOISE_TAGS and tag != "header"
+                e.header = parent.header or tag == "header"
+            if e.path in self._low:
+                e.low, e.low_article, e.low_main = True, parent.article, parent.main
+            e.article = parent.article or tag == "article" or found.get("role", "").lower() == "article"
+            e.main = parent.main or tag == "main" or found.get("role", "").lower() == "main"
         else:
-            self._stack.append((tag, path, noise, article, main))
+            e = Element(tag, parent)
+            e.inline = parent.inline or tag in INLINE_NOISE or bool(found) and marks(tag, found)[1]
+        self._stack.append(e)
+        self._open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == tag:
-                if any(x[0] in BLOCK or x[0] in NOISE_TAGS or x[2] for x in self._stack[i:]):
-                    self._end_block()
-                del self._stack[i:]
-                return
+        if not self._open_tags[tag]:
+            return
+        at = next(i for i in range(len(self._stack) - 1, 0, -1) if self._stack[i].tag == tag)
+        if any(e.block for e in self._stack[at:]):
+            self._end_block()
+        while len(self._stack) > at:
+            self._pop()
+
+    def _text(self, text: str) -> None:
+        self._parts.append((text, self._stack[-1].inline))
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
         while at < size:
             m = TOKEN.search(source, at)
             if m is None:
-                self._parts.append(source[at:])
+                self._text(source[at:])
                 break
             if m.start() > at:
-                self._parts.append(source[at : m.start()])
+                self._text(source[at : m.start()])
             at = m.end()
             if (tag := m.group(2)) is None:
                 continue
@@ -140,27 +223,27 @@ class Page:
             elif not m.group(3).endswith("/"):
                 self._open(tag, m.group(3))
         self._end_block()
+        while len(self._stack) > 1:
+            self._pop()
 
 
 def style_nodes(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """host, path, kind (0 presentation, 1 content), sig, n: the merged trees, counted by batch first."""
-    from collections import Counter
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
             for part in slices(batch, "_html"):
                 seen: Counter = Counter()
                 for host, source in zip(part.column("_host").to_pylist(), as_string(part.column("_html")).to_pylist(), strict=True):
-                    for path, (children, texts) in Page(source).nodes.items():
-                        seen[host, path, 0, xxh64_intdigest(" ".join(children)) >> 1] += 1
-                        seen[host, path, 1, xxh64_intdigest("\n".join(texts)) >> 1] += 1
+                    for path, (style, content) in Page(source).nodes.items():
+                        seen[host, path, 0, style] += 1
+                        seen[host, path, 1, content] += 1
                 cols = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["host", "path", "kind", "sig", "n"])
+                signed = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), signed(cols[1]), pa.array(cols[2], pa.int32()), signed(cols[3]), pa.array(cols[4], pa.int64())], ["host", "path", "kind", "sig", "n"])
 
-    slim = pages.select(host_of(F.col(url)).alias("_host"), F.col(html).cast("string").alias("_html"))
-    return slim.mapInArrow(run, "host string, path string, kind int, sig long, n long")
+    slim = pages.select(F.xxhash64(host_of(F.col(url))).alias("_host"), F.col(html).cast("string").alias("_html"))
+    return slim.mapInArrow(run, "host long, path long, kind int, sig long, n long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -171,35 +254,33 @@ def importance(nodes: DataFrame) -> DataFrame:
     return per.withColumn("e", entropy).groupBy("host", "path").agg(F.max("m").alias("n_pages"), F.max("e").alias("importance"))
 
 
-def main_text(page: Page, low: frozenset[str] | set[str]) -> str:
-    """Blocks that are no furniture: of the articles if the page marks any, else of main, else of the page; each less its unimportant branches."""
-
-    def unimportant(path: str, top: str) -> bool:
-        while len(path) > len(top):
-            if path in low:
-                return True
-            path = path.rpartition("/")[0]
-        return False
-
-    clean = [b for b in page.blocks if not b[2]]
-    for i in (3, 4):
-        if any(b[i] for b in page.blocks):
-            return "\n".join(b[0] for b in clean if b[i] and not unimportant(b[1], b[i]))
-    return "\n".join(b[0] for b in clean if not unimportant(b[1], ""))
+def main_text(page: Page) -> str:
+    """Blocks of the articles if the page marks any, else of main, else of the page; each less its unimportant branches."""
+    if page.marked[0]:
+        return "\n".join([b[0] for b in page.blocks if b[2] and not b[3]])
+    if page.marked[1]:
+        return "\n".join([b[0] for b in page.blocks if b[4] and not b[5]])
+    return "\n".join([b[0] for b in page.blocks if not b[1]])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """key, url, text. Two passes over the pages: the tree, then the text; pages meet the low paths of their host by a join."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
     weak = written(importance(style_nodes(pages, key, url, html)).where((F.col("n_pages") >= min_pages) & (F.col("importance") < least)), "styles")
     per_host = weak.groupBy("host").agg(F.collect_set("path").alias("low"))  # style paths of a host, whatever its number of pages
-    slim = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("_html"))
-    met = slim.join(F.broadcast(per_host) if weak.count() <= 20_000 else per_host, "host", "left").select("_key", "_url", "low", "_html")
+    slim = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.xxhash64(host_of(F.col(url))).alias("host"), F.col(html).cast("string").alias("_html"))
+    if weak.count() <= max_broadcast:
+        met = slim.join(F.broadcast(per_host), "host", "left")
+    else:
+        salted = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = slim.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_html"):
-                texts = [main_text(Page(source), frozenset(low or ())) for low, source in zip(part.column("low").to_pylist(), as_string(part.column("_html")).to_pylist(), strict=True)]
+                lows = [frozenset(np.array(x, np.int64).view(np.uint64).tolist()) if x else frozenset() for x in part.column("low").to_pylist()]
+                texts = [main_text(Page(source, low)) for low, source in zip(lows, as_string(part.column("_html")).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_url"), pa.array(texts, pa.string())], ["_key", "_url", "text"])
 
-    return met.mapInArrow(run, f"_key {kinds[key]}, _url {kinds[url]}, text string").select(F.col("_key").alias(key), F.col("_url").alias(url), "text")
+    found = met.select("_key", "_url", "low", "_html").mapInArrow(run, f"_key {kinds[key]}, _url {kinds[url]}, text string")
+    return found.select(F.col("_key").alias(key), F.col("_url").alias(url), "text")
