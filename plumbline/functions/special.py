@@ -46,18 +46,56 @@ def chi2_sf(x: float, k: float) -> float:
     return max(TINY, gamma_q(k / 2, x / 2))
 
 
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lentz's continued fraction of the incomplete beta function, for whole arrays."""
+    tiny = 1e-300
+    clean = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / clean(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 20_000):
+        num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / clean(1 + num * d), clean(1 + num / c)
+        h = h * d * c
+        num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / clean(1 + num * d), clean(1 + num / c)
+        step = d * c
+        h = h * step
+        if np.all(np.abs(step - 1) < 1e-15):
+            break
+    return h
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b) for 0 < x < 1."""
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    part = _beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)) * front / np.where(low, a, b)
+    return np.where(low, part, 1 - part)
+
+
+def binom_sf_array(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X >= k): I_p(k, n - k + 1)."""
+    inner = (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    out = np.where((k <= 0) | (p >= 1), 1.0, TINY)
+    out = np.where(k > n, TINY, out)
+    if inner.any():
+        out[inner] = np.clip(beta_inc(k[inner], n[inner] - k[inner] + 1, p[inner]), TINY, 1.0)
+    return out
+
+
 def binom_sf(k: int, n: int, p: float) -> float:
     """P(X >= k)."""
-    if k <= 0:
-        return 1.0
-    if k > n or p <= 0:
-        return TINY
-    if p >= 1:
-        return 1.0
-    i = np.arange(k, n + 1)
-    logs = math.lgamma(n + 1) - np.array([math.lgamma(j + 1) + math.lgamma(n - j + 1) for j in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    top = logs.max()
-    return max(TINY, min(1.0, float(np.exp(logs - top).sum() * math.exp(top))))
+    return float(binom_sf_array(np.array([k], float), np.array([n], float), np.array([p], float))[0])
+
+
+def binom_two_sided(k: int, n: int, p: float) -> float:
+    """Exact two-sided binomial: the mass of all outcomes no likelier than k."""
+    i = np.arange(n + 1)
+    logs = math.lgamma(n + 1) - _lgamma(i + 1) - _lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return min(1.0, float(np.exp(logs[logs <= logs[k] + math.log1p(1e-7)]).sum()))
 
 
 def _udf(f):
@@ -79,4 +117,8 @@ def chi2_sf_col(x: pd.Series, k: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def binom_sf_col(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return _udf(lambda a, b, c: binom_sf(int(a), int(b), c))(k, n, p)
+    x = np.stack([c.to_numpy(float) for c in (k, n, p)])
+    fit = ~np.isnan(x).any(axis=0)
+    out = np.full(x.shape[1], np.nan)
+    out[fit] = binom_sf_array(*(c[fit] for c in x))
+    return pd.Series(out).astype(object).where(fit, None)

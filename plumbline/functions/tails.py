@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import running
+
 MAD_SCALE = 0.6744897501960817
 
 
@@ -12,16 +14,36 @@ def sidak(p: Column, k: Column) -> Column:
     return -F.expm1(k * F.log1p(-F.least(F.greatest(p, F.lit(0.0)), F.lit(1 - 1e-16))))
 
 
-def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """_below, _le, _n: counts within the group. Rows with a NULL value must be gone."""
+def ranked(df: DataFrame, by: list[str], value: str, spread: bool = False) -> DataFrame:
+    """_below, _le, _n: counts within the group. Rows with a NULL value must be gone.
+
+    spread: counts by value and their running sums over ranges, so that no task holds a whole group; NULL group columns are kept."""
+    if spread:
+        counts = spread_counts(df, by, value).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).alias("_gv"), "_below", "_le", "_n")
+        same = F.col(value) == F.col("_gv")
+        for i, c in enumerate(by):
+            same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        return df.join(counts, same).drop("_gv", *[f"_g{i}" for i in range(len(by))])
     w = Window.partitionBy(*by)
     order = w.orderBy(value)
     return df.withColumns({"_below": F.rank().over(order) - 1, "_le": F.count("*").over(order.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.count("*").over(w)})
 
 
-def places(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def spread_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, _c (rows with it), _below, _le, _n: one row a distinct value of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ran = running(counts, [F.col(c) for c in (*by, value)], {"_before": F.col("_c")})
+    groups = ran.groupBy(*by).agg(F.min("_before").alias("_start"), F.sum("_c").alias("_n")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_start", "_n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    met = ran.join(groups, same).withColumn("_below", F.col("_before") - F.col("_start"))
+    return met.select(*by, value, "_c", "_below", (F.col("_below") + F.col("_c")).alias("_le"), "_n")
+
+
+def places(df: DataFrame, by: list[str], value: str, spread: bool = False) -> DataFrame:
     """midrank, loo_percentile, upper, lower, two_sided and direction of each value within its group."""
-    r = ranked(df, by, value)
+    r = ranked(df, by, value, spread)
     n, below, le = F.col("_n"), F.col("_below"), F.col("_le")
     upper, lower = (n - below) / n, le / n
     return r.withColumns({
@@ -32,27 +54,51 @@ def places(df: DataFrame, by: list[str], value: str) -> DataFrame:
     }).drop("_below", "_le", "_n")
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles a group, from row numbers: sorted and spilled, never held in a hash map."""
-    w = Window.partitionBy(*by)
-    r = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_m"))
+def quantiles(df: DataFrame, by: list[str], value: str, ps: dict[str, float], spread: bool = False) -> DataFrame:
+    """Linear-interpolation quantiles a group, from row numbers: sorted and spilled, never held in a hash map.
+
+    spread: from counts by value, as in ranked."""
+    if spread:
+        r = spread_counts(df, by, value).select(*by, F.col(value).alias("_v"), F.col("_below").alias("_from"), F.col("_le").alias("_to"), F.col("_n").alias("_m"))
+        holds = lambda k: (F.col("_from") < k) & (F.col("_to") >= k)
+    else:
+        w = Window.partitionBy(*by)
+        r = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("_m"))
+        holds = lambda k: F.col("_i") == k
     out = {}
     for name, p in ps.items():
         at = (F.col("_m") - 1) * F.lit(p) + 1
         lo, part = F.floor(at), at - F.floor(at)
-        below = F.max(F.when(F.col("_i") == lo, F.col("_v")))
-        above = F.max(F.when(F.col("_i") == lo + 1, F.col("_v")))
+        below = F.max(F.when(holds(lo), F.col("_v")))
+        above = F.max(F.when(holds(lo + 1), F.col("_v")))
         share = F.max(part)
         out[name] = below + F.when(share > 0, share * (above - below)).otherwise(0.0)
     return r.groupBy(*by).agg(F.max("_m").alias("n"), *[c.alias(k) for k, c in out.items()])
 
 
+def described(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """places and the quantiles of each row's group, from one exchange and one sort."""
+    w = Window.partitionBy(*by)
+    r = places(df, by, value).withColumn("_i", F.row_number().over(w.orderBy(value)))
+    out = {}
+    for name, p in ps.items():
+        at = (F.col("n") - 1) * F.lit(p) + 1
+        lo, part = F.floor(at), at - F.floor(at)
+        below, above = (F.max(F.when(F.col("_i") == k, F.col(value))).over(w) for k in (lo, lo + 1))
+        out[name] = below + F.when(part > 0, part * (above - below)).otherwise(0.0)
+    return r.withColumns(out).drop("_i")
+
+
+def with_z(df: DataFrame, value: str) -> DataFrame:
+    """robust_z and mad_status from median and mad."""
+    z = F.when(F.col("mad") > 0, MAD_SCALE * (F.col(value) - F.col("median")) / F.col("mad")).when(F.col(value) == F.col("median"), 0.0)
+    return df.withColumns({"robust_z": z, "mad_status": F.when(z.isNull(), "ZERO_MAD").otherwise("OK")})
+
+
 def robust(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """median, mad, robust_z, mad_status of each value within its group."""
     mid = df.join(quantiles(df, by, value, {"median": 0.5}).drop("n"), by).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    both = mid.join(quantiles(mid, by, "_d", {"mad": 0.5}).drop("n"), by)
-    z = F.when(F.col("mad") > 0, MAD_SCALE * (F.col(value) - F.col("median")) / F.col("mad")).when(F.col(value) == F.col("median"), 0.0)
-    return both.withColumns({"robust_z": z, "mad_status": F.when(z.isNull(), "ZERO_MAD").otherwise("OK")}).drop("_d")
+    return with_z(mid.join(quantiles(mid, by, "_d", {"mad": 0.5}).drop("n"), by), value).drop("_d")
 
 
 def out_of_sample(targets: DataFrame, reference: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -74,3 +120,10 @@ def bh(df: DataFrame, by: list[str], p: str, tie: list[str], out: str = "q") ->
     down = w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
     q = r.withColumn(out, F.least(F.min("_x").over(down), F.lit(1.0))).drop("_r", "_m", "_x")
     return q.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
+def positions(df: DataFrame, value: str, low: str, high: str, p: float = 0.05) -> DataFrame:
+    """Where a placed value lies against its group's tail quantiles, and how far its midrank is beyond p and 1 - p."""
+    v = F.col(value)
+    where = F.when(v < F.col(low), "LOWER_TAIL").when(v > F.col(high), "UPPER_TAIL").otherwise("CENTRAL_REFERENCE_RANGE")
+    return df.withColumns({"distribution_position": where, "lower_distance": F.greatest(p - F.col("midrank"), F.lit(0.0)), "upper_distance": F.greatest(F.col("midrank") - (1 - p), F.lit(0.0))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from functools import reduce
 
@@ -63,6 +64,19 @@ def hash_id(prefix: str, *parts: Column, length: int = 24) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, length))
 
 
+def hash_number(c: Column) -> Column:
+    """The first 64 bits of SHA-256 as an unsigned number."""
+    return F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def hash_bucket(c: Column, k: int) -> Column:
-    """A stable bucket from the first 52 bits of SHA-256."""
-    return F.pmod(F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 13), 16, 10).cast("bigint"), F.lit(k)).cast("int")
+    """A stable bucket: hash_number modulo k."""
+    return (hash_number(c) % F.lit(k)).cast("int")
+
+
+def hmac_sha256(c: Column, key: str) -> Column:
+    """HMAC-SHA-256 of a text, in hex, from two rounds of SHA-256."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pads = [F.lit(bytearray(b ^ x for b in raw.ljust(64, b"\0"))) for x in (0x36, 0x5C)]
+    inner = F.sha2(F.concat(pads[0], F.encode(c, "UTF-8")), 256)
+    return F.sha2(F.concat(pads[1], F.unhex(inner)), 256)

@@ -97,3 +97,76 @@ def drift(df: DataFrame, by: list[str], period: str, value: str) -> DataFrame:
 
     r = r.withColumns({"base": middle("_e"), "step": middle("_f")}).drop("_e", "_f")
     return r.withColumn("drift", F.when((F.col("earlier") >= 2) & (F.col("step") > 0), (F.col(value) - F.col("base")) / F.col("step"))).drop("_s")
+
+
+def gate(n, ref_n, least: int = 10, ref_least: int = 30):
+    """Why a cluster isn't tested; NULL if it is."""
+    return F.when(n == 0, "GROUP_EMPTY").when(n < least, "GROUP_BELOW_MINIMUM").when(ref_n < ref_least, "REFERENCE_BELOW_MINIMUM")
+
+
+def standardised_mix(df: DataFrame, cell: list[str], cluster: str, band: str, code: str, strength: float) -> DataFrame:
+    """G of a cluster's codes against those expected from its own bands at the rest of the cell's rates.
+
+    A band's leave-out rate is smoothed with `strength` towards the cell's leave-out mix. All of it is sums over counts by
+    (cell, cluster, band, code): the rest of a cell is its total less the cluster's own."""
+    t = df.where(F.col(band).isNotNull() & F.col(code).isNotNull()).groupBy(*cell, cluster, band, code).agg(F.count("*").cast("double").alias("_o"))
+    total = lambda by, name: t.groupBy(*by).agg(F.sum("_o").alias(name))
+    codes = total([*cell, code], "_c")
+    per_cell = codes.groupBy(*cell).agg(F.sum("_c").alias("_t"), F.count("*").alias("_k"))
+    own_bands = total([*cell, cluster, band], "_nb").join(total([*cell, cluster], "n"), [*cell, cluster]).join(total([*cell, band], "_b"), [*cell, band]).join(per_cell, cell)
+    every = own_bands.join(codes, cell).join(total([*cell, band, code], "_bc"), [*cell, band, code], "left").join(t, [*cell, cluster, band, code], "left").join(total([*cell, cluster, code], "_oc"), [*cell, cluster, code], "left").fillna(0.0, ["_bc", "_o", "_oc"])
+    prior = (F.col("_c") - F.col("_oc") + 0.5) / (F.col("_t") - F.col("n") + 0.5 * F.col("_k"))
+    rate = (F.col("_bc") - F.col("_o") + strength * prior) / (F.col("_b") - F.col("_nb") + strength)
+    e = every.groupBy(*cell, cluster, code).agg(F.first("n").alias("n"), F.first("_t").alias("_t"), F.first("_k").alias("_k"), F.first("_oc").alias("_oc"), F.sum(F.col("_nb") * rate).alias("_e"))
+    part = F.when(F.col("_oc") > 0, 2 * F.col("_oc") * F.log(F.col("_oc") / F.col("_e"))).otherwise(0.0)
+    g = e.groupBy(*cell, cluster).agg(F.first("n").cast("long").alias("n"), F.first("_t").alias("_t"), F.first("_k").alias("_k"), F.sum(part).alias("_g"), F.max(F.struct(F.abs(F.col("_oc") - F.col("_e")).alias("a"), F.col(code).alias("c"))).alias("_m"))
+    g = g.withColumn("reason", gate(F.col("n"), F.col("_t") - F.col("n")))
+    return g.withColumns({"g": F.when(F.col("reason").isNull(), F.greatest(F.col("_g"), F.lit(0.0)) / (1 + (F.col("_k") + 1) / (6 * F.col("n")))), "df": F.col("_k") - 1, "largest": F.col("_m.c")}).drop("_t", "_k", "_g", "_m")
+
+
+def reduced_spread(df: DataFrame, cell: list[str], cluster: str, value: str) -> DataFrame:
+    """cell, cluster, n, reason, inside, expected: values within half the rest's IQR of the cluster's own median, and the
+    share of the rest within as much of its median.
+
+    The k-th value of the rest is the value at place k + j of the cell, where j counts the own values v with (values of
+    the cell up to v) - (own values up to v) < k. So every cluster is served by the places of its cell's rows, which
+    `numbered` gives without a task for a whole cell; counts in an interval come from running sums at its ends."""
+    from plumbline.sources.scratch import numbered, running
+
+    rows = numbered(df.where(F.col(value).isNotNull()).select(*cell, cluster, F.col(value).cast("double").alias("_v")), [*[F.col(c) for c in cell], F.col("_v")], "_row")
+    starts = rows.groupBy(*cell).agg((F.min("_row") - 1).alias("_s"), F.count("*").alias("_n"))
+    rows = rows.join(starts, cell).withColumn("_at", F.col("_row") - F.col("_s"))
+    own = Window.partitionBy(*cell, cluster)
+    up_to = own.orderBy("_v")
+    placed = rows.withColumns({"_le": F.max("_at").over(Window.partitionBy(*cell, "_v")), "_ole": F.count("*").over(up_to.rangeBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(up_to), "n": F.count("*").over(own)}).withColumn("ref_n", F.col("_n") - F.col("n"))
+    wants, parts = {}, {}
+    for name, p in (("q25", 0.25), ("med", 0.5), ("q75", 0.75)):
+        at = (F.col("ref_n") - 1) * F.lit(p) + 1
+        parts[name] = at - F.floor(at)
+        for end, k in (("lo", F.floor(at)), ("hi", F.least(F.floor(at) + 1, F.col("ref_n")))):
+            wants[f"{name}_{end}"] = F.max(k) + F.count_if(F.col("_le") - F.col("_ole") < k)
+    mid = [F.max(F.when(F.col("_i") == k, F.col("_v"))) for k in (F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))]
+    g = placed.groupBy(*cell, cluster).agg(F.first("n").alias("n"), F.first("ref_n").alias("ref_n"), ((mid[0] + mid[1]) / 2).alias("own_median"), F.array(*[F.struct(F.lit(k).alias("name"), c.alias("_at")) for k, c in wants.items()]).alias("_w"))
+    found = g.select(*cell, cluster, F.explode("_w").alias("w")).select(*cell, cluster, "w.name", "w._at").join(rows.select(*cell, "_at", "_v"), [*cell, "_at"])
+    wide = found.groupBy(*cell, cluster).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in wants])
+    g = g.drop("_w").join(wide, [*cell, cluster], "left")
+    g = g.withColumns({k: F.col(f"{k}_lo") + F.when(part > 0, part * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).otherwise(0.0) for k, part in parts.items()})
+    g = g.withColumn("half", (F.col("q75") - F.col("q25")) / 2).select(*cell, cluster, "n", "ref_n", "own_median", F.col("med").alias("ref_median"), "half")
+    # cell rows below the low end (_s 0) and up to the high end (_s 2), among the rows (_s 1)
+    near = lambda c, d: F.abs(F.col(c) - F.col(d)) <= F.col("half")
+    ends = g.select(*cell, cluster, F.explode(F.array(F.struct((F.col("ref_median") - F.col("half")).alias("_v"), F.lit(0).alias("_s")), F.struct((F.col("ref_median") + F.col("half")).alias("_v"), F.lit(2).alias("_s")))).alias("e")).select(*cell, cluster, "e.*")
+    both = rows.select(*cell, F.lit(None).cast(df.schema[cluster].dataType).alias(cluster), "_v", F.lit(1).alias("_s")).unionByName(ends)
+    ran = running(both, [*[F.col(c) for c in cell], F.col("_v"), F.col("_s")], {"_upto": (F.col("_s") == 1).cast("long")}).where("_s <> 1")
+    cells = ran.groupBy(*cell, cluster).agg((F.max(F.when(F.col("_s") == 2, F.col("_upto"))) - F.max(F.when(F.col("_s") == 0, F.col("_upto")))).alias("_in_cell"))
+    own_in = rows.select(*cell, cluster, "_v").join(g, [*cell, cluster]).groupBy(*cell, cluster).agg(F.count_if(near("_v", "own_median")).alias("inside"), F.count_if(near("_v", "ref_median")).alias("_own_in"))
+    out = g.join(cells, [*cell, cluster]).join(own_in, [*cell, cluster]).withColumn("expected", (F.col("_in_cell") - F.col("_own_in")) / F.col("ref_n"))
+    reason = F.coalesce(gate(F.col("n"), F.col("ref_n")), F.when((F.col("half") <= 0) | (F.col("expected") >= 1), "REFERENCE_HAS_NO_SPREAD"))
+    out = out.withColumn("reason", reason)
+    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("inside", "expected")}).drop("_in_cell", "_own_in")
+
+
+def dispersion(df: DataFrame, family: list[str], chi: str, least: int = 10) -> DataFrame:
+    """family, n_clusters, phi: median of one-degree chi-square equivalents over its null median, 1 at least; 1 for small families."""
+    from plumbline.functions.tails import quantiles
+
+    return quantiles(df, family, chi, {"_m": 0.5}).select(*family, F.col("n").alias("n_clusters"), F.when(F.col("n") >= least, F.greatest(F.lit(1.0), F.col("_m") / 0.454936)).otherwise(1.0).alias("phi"))

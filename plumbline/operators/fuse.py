@@ -1,4 +1,4 @@
-"""Fusing evidence into a bounded queue. The greedy queue is a few windows; see the docstrings."""
+"""Fusing evidence into a bounded queue. The greedy queue is a few running sums over ranges; see the docstrings."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.tails import sidak
+from plumbline.sources.scratch import numbered, running, written
 
 
 def variable_evidence(df: DataFrame, threshold: float = 0.01) -> DataFrame:
@@ -45,18 +46,19 @@ def tiers(df: DataFrame, budget: int, threshold: float, cap: int = 10, coding_bu
     in_cluster = Window.partitionBy("_v", "cluster").orderBy("p", "case_id")
     c = c.withColumn("_ok", F.col("_v") & ((F.row_number().over(in_cluster) <= cap) | F.lit(cap == 0)))
     cand = c.where("_v")
-    before = F.coalesce(F.sum(F.col("_ok").cast("int")).over(Window.orderBy("p", "case_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cand = cand.withColumn("_before", before)
+    cand = running(cand, [F.col("p"), F.col("case_id")], {"_before": F.col("_ok").cast("int")})
     value = cand.select("case_id", F.when(F.col("_ok") & (F.col("_before") < budget), "A").otherwise("B").alias("_t"), F.when(F.col("_ok") & (F.col("_before") < budget), "VALUE").when(F.col("_before") >= budget, "BUDGET").otherwise("CAP").alias("_r"))
     t = df.join(value, "case_id", "left").withColumns({"tier": F.when(F.col("hard"), "A").otherwise(F.col("_t")), "reason": F.when(F.col("hard"), "RULE").otherwise(F.col("_r"))}).drop("_t", "_r")
     coding = t.where(F.coalesce(F.col("coding_p") <= threshold, F.lit(False)) & ~F.col("tier").eqNullSafe("A"))
-    ranked = coding.select("case_id", F.row_number().over(Window.orderBy("coding_p", "case_id")).alias("_k"))
+    ranked = numbered(coding.select("case_id", "coding_p"), [F.col("coding_p"), F.col("case_id")], "_k").select("case_id", "_k")
     t = t.join(ranked, "case_id", "left").withColumns({
         "tier": F.when(F.col("_k") <= coding_budget, "A").when(F.col("_k").isNotNull(), "B").otherwise(F.col("tier")),
         "reason": F.when(F.col("_k") <= coding_budget, "CODING").when(F.col("_k").isNotNull(), "CODING_BUDGET").otherwise(F.col("reason"))}).drop("_k")
     t = t.withColumns({"reason": F.when(F.col("tier").isNull() & F.col("soft"), "RULE_SOFT").otherwise(F.col("reason")), "tier": F.when(F.col("tier").isNull() & F.col("soft"), "B").otherwise(F.col("tier"))})
+    t = written(t, "tiers")
     in_b = t.agg(F.count_if(F.col("tier") == "B").alias("_in_b"))
-    band = t.where(F.col("tier").isNull() & (F.col("p") / threshold <= factor)).withColumn("_k", F.row_number().over(Window.orderBy("p", "case_id"))).select("case_id", "_k")
+    band = t.where(F.col("tier").isNull() & (F.col("p") / threshold <= factor)).select("case_id", "p")
+    band = numbered(band, [F.col("p"), F.col("case_id")], "_k").select("case_id", "_k")
     t = t.join(band, "case_id", "left").join(F.broadcast(in_b))
     next_band = F.col("_k") <= F.lit(multiplier * budget) - F.col("_in_b")
     return t.withColumns({"reason": F.when(F.col("tier").isNull() & next_band, "NEXT").otherwise(F.col("reason")), "tier": F.coalesce(F.col("tier"), F.when(next_band, "B"), F.when(F.col("p").isNull(), "NOT_ASSESSABLE"), F.lit("NONE"))}).drop("_k", "_in_b")
@@ -66,5 +68,5 @@ def positions(df: DataFrame, impact: str) -> DataFrame:
     """Queue position: tier, rules first, greater impact first (A and B), p, id."""
     tier = F.when(F.col("tier") == "A", 0).when(F.col("tier") == "B", 1).when(F.col("tier") == "NONE", 2).otherwise(3)
     strong = F.when(F.col("tier").isin("A", "B"), -F.col(impact)).otherwise(0.0)
-    w = Window.orderBy(tier, (~F.col("hard")).cast("int"), strong, F.col("p").asc_nulls_last(), "case_id")
-    return df.withColumn("position", F.row_number().over(w))
+    keyed = df.withColumns({"_t": tier, "_r": (~F.col("hard")).cast("int"), "_s": strong})
+    return numbered(keyed, [F.col("_t"), F.col("_r"), F.col("_s"), F.col("p").asc_nulls_last(), F.col("case_id")], "position").drop("_t", "_r", "_s")

@@ -6,7 +6,11 @@ applicable. All row rules are evaluated in one pass as an array of violated ids.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,26 +24,29 @@ def present(c: str) -> Column:
     return clean(F.col(c)) != ""
 
 
-def matches(c: str, values: list[str]) -> Column:
-    """As text, or as numbers where both are."""
-    numbers = []
-    for v in values:
-        try:
-            numbers.append(float(v))
-        except ValueError:
-            continue
-    text = clean(F.col(c)).isin(*values)
+def texts(values: list) -> list[str]:
+    return [str(v) for v in values]
+
+
+def matches(c: str, values: list) -> Column:
+    """As text; values given as numbers also match any text of the same number ("01" is not "1", but it is 1)."""
+    numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    text = clean(F.col(c)).isin(*texts(values))
     return F.coalesce(text | finite(F.col(c)).isin(*numbers), text) if numbers else text
 
 
+def same_code(c: str, values: list) -> Column:
+    return clean(F.col(c)).isin(*texts(values))
+
+
 def condition(when: dict | None) -> Column:
     """{column: {in, not_in, min, max}}, all of them; NULL is false."""
     tests = [F.lit(True)]
     for c, spec in (when or {}).items():
         if "in" in spec:
-            tests.append(matches(c, [str(v) for v in spec["in"]]))
+            tests.append(same_code(c, spec["in"]))
         if "not_in" in spec:
-            tests.append(present(c) & ~matches(c, [str(v) for v in spec["not_in"]]))
+            tests.append(present(c) & ~same_code(c, spec["not_in"]))
         if "min" in spec:
             tests.append(finite(F.col(c)) >= spec["min"])
         if "max" in spec:
@@ -74,9 +81,9 @@ def violated(rule: dict) -> Column:
         case "absent_when":
             test = when & present(c)
         case "value_when":
-            test = when & present(c) & ~matches(c, [str(v) for v in rule["values"]])
+            test = when & present(c) & ~matches(c, rule["values"])
         case "not_value_when":
-            test = when & present(c) & matches(c, [str(v) for v in rule["values"]])
+            test = when & present(c) & matches(c, rule["values"])
         case "arithmetic":
             test = when & (F.abs(finite(F.col(rule["target"])) - total(rule["terms"])) > rule.get("tolerance", 0) + EPS)
         case "lower_bound_sum":
@@ -86,16 +93,22 @@ def violated(rule: dict) -> Column:
         case "count_matches":
             test = F.col(rule["count"]) != finite(F.col(rule["declared"]))
         case "within_period":
-            month = F.substring(clean(F.col(c)), 3, 2)
-            test = present(c) & ~reduce(lambda a, b: a | b, [(F.col(rule["period"]) == p) & month.isin(*m) for p, m in rule["months"].items()])
+            # an unknown period or a month that is no number passes
+            month = finite(F.substring(clean(F.col(c)), 3, 2))
+            test = present(c) & reduce(lambda a, b: a | b, [(clean(F.col(rule["period"])) == p) & ~month.isin(*map(float, m)) for p, m in rule["months"].items()])
         case _:
             raise ValueError(f"unknown rule type {kind}")
     return F.coalesce(test, F.lit(False))
 
 
-def evaluate(df: DataFrame, rules: list[dict], unit: list[str]) -> DataFrame:
+def in_force(rule: dict, period: str | None = None, inactive: bool = True) -> bool:
+    """Active and approved (or all rules are asked for), and of the design period if it names any."""
+    return (inactive or (rule.get("active", True) and rule.get("status", "approved") == "approved")) and (period is None or not rule.get("periods") or period in rule["periods"])
+
+
+def evaluate(df: DataFrame, rules: list[dict], unit: list[str], period: str | None = None, inactive: bool = True) -> DataFrame:
     """unit, rule_id, severity, observed (JSON of the rule's columns): a row a violated rule."""
-    fit = [r for r in rules if columns_of(r) <= set(df.columns)]
+    fit = [r for r in rules if in_force(r, period, inactive) and columns_of(r) <= set(df.columns)]
     if not fit:
         return df.select(*unit, F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("observed")).where(F.lit(False))
     hit = lambda r: F.when(violated(r), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("severity", "error")).alias("severity"), F.to_json(F.struct(*[F.col(c) for c in sorted(columns_of(r))])).alias("observed")))
@@ -103,10 +116,64 @@ def evaluate(df: DataFrame, rules: list[dict], unit: list[str]) -> DataFrame:
     return marked.select(*unit, F.explode("_hits").alias("v")).select(*unit, "v.*")
 
 
-def references(df: DataFrame, codes: DataFrame, parts: list[str], unit: list[str]) -> DataFrame:
-    """Units whose codes, all present, are not in the list."""
-    full = df.where(reduce(lambda a, b: a & b, [present(p) for p in parts]))
-    return full.join(codes.select(*parts).distinct(), parts, "left_anti").select(*unit)
+def padded(c: str, width: int) -> Column:
+    text = clean(F.col(c))
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def references(df: DataFrame, codes: DataFrame, parts: list[str], unit: list[str], widths: list[int] | None = None) -> DataFrame:
+    """Units whose codes, all present, are not in the list. Both sides are padded with zeros to the widths (2 each)."""
+    sizes = widths or [2] * len(parts)
+    full = df.where(reduce(lambda a, b: a & b, [present(p) for p in parts])).withColumns({f"_c{i}": padded(p, w) for i, (p, w) in enumerate(zip(parts, sizes, strict=True))})
+    listed = codes.select(*[padded(p, w).alias(f"_c{i}") for i, (p, w) in enumerate(zip(parts, sizes, strict=True))]).distinct()
+    return full.join(listed, [f"_c{i}" for i in range(len(parts))], "left_anti").select(*unit)
+
+
+#: Fields every stored rule must have, and those a rule type must name.
+METADATA = ("id", "type", "title", "owner", "status", "version")
+NEEDS = {"unique": ("fields",), "allowed_values": ("column", "values"), "range": ("column",), "required_when": ("column", "when"), "absent_when": ("column", "when"), "value_when": ("column", "values", "when"), "not_value_when": ("column", "values", "when"), "arithmetic": ("target", "terms"), "lower_bound_sum": ("target", "terms"), "exists_exactly": ("count", "value"), "count_matches": ("count", "declared"), "references": ("fields", "code_list"), "within_period": ("column", "period", "months")}
+
+
+def problems(rule: dict) -> list[str]:
+    """What is wrong with a rule as stored: metadata, type, fields of the type, and its own test cases."""
+    out = [f"no {k}" for k in METADATA if not rule.get(k)]
+    if rule.get("type") not in NEEDS:
+        return [*out, f"unknown type {rule.get('type')}"]
+    out += [f"{rule['type']} needs {k}" for k in NEEDS[rule["type"]] if k not in rule]
+    if rule["type"] == "range" and not {"min", "max"} & set(rule):
+        out.append("range needs min or max")
+    if {c.get("expect") for c in rule.get("tests", [])} != {"violates", "passes"}:
+        out.append("needs a case that violates and one that passes")
+    return out
+
+
+def load(path: str) -> tuple[list[dict], str]:
+    """Rules of a YAML or JSON file, or of all such files of a folder in name order, and the SHA-256 of their contents.
+
+    Fails on problems and on ids given twice."""
+    files = sorted(p for p in Path(path).iterdir() if p.suffix in (".yaml", ".yml", ".json")) if Path(path).is_dir() else [Path(path)]
+    digest, rules = hashlib.sha256(), []
+    for p in files:
+        data = p.read_bytes()
+        digest.update(p.name.encode() + b"\0" + data + b"\0")
+        if p.suffix == ".json":
+            rules += json.loads(data)["rules"]
+        else:
+            import yaml
+
+            rules += yaml.safe_load(data)["rules"]
+    wrong = [f"{r.get('id')}: {m}" for r in rules for m in problems(r)]
+    wrong += [f"{i}: given twice" for i, n in Counter(r.get("id") for r in rules).items() if n > 1]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return rules, digest.hexdigest()
+
+
+def check_record(spark, rules: list[dict], record: dict, unit: list[str]) -> list[dict]:
+    """Online validation: the rules one record violates, and those that don't apply to it."""
+    df = spark.createDataFrame([[None if v is None else str(v) for v in record.values()]], ", ".join(f"`{k}` string" for k in record))
+    hit = {r["rule_id"] for r in evaluate(df, rules, unit, inactive=False).collect()}
+    return [{"rule_id": r["id"], "status": "NOT_APPLICABLE" if not columns_of(r) <= set(record) else "VIOLATED" if r["id"] in hit else "PASSED"} for r in rules if in_force(r, None, False)]
 
 
 def child_counts(parents: DataFrame, children: DataFrame, key: str, child_key: str, counts: dict[str, Column]) -> DataFrame:

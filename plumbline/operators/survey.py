@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.tails import quantiles
+
 
 def ratio_se(df: DataFrame, domain: list[str], stratum: str, psu: str, y, x, w) -> DataFrame:
     """Sum(wy) / Sum(wx) a domain and its Taylor-linearised error over PSUs within strata.
@@ -42,11 +44,49 @@ def woodruff_median(df: DataFrame, domain: list[str], stratum: str, psu: str, va
 
 
 def js_distance(df: DataFrame, by: list[str], side: str, value: str, w, bins: int = 10) -> DataFrame:
-    """Jensen-Shannon distance of the weighted distributions of two sides (0 and 1) over their pooled deciles."""
-    edges = df.select(value).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 100_000).alias("e"))
-    hist = df.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda x: x < F.col(value)))).groupBy(*by, "_b").agg(F.sum(F.when(F.col(side) == 0, w)).alias("_p"), F.sum(F.when(F.col(side) == 1, w)).alias("_q"))
+    """Jensen-Shannon distance of the weighted distributions of two sides (0 and 1) over their pooled quantiles a group.
+
+    Edges are exact, from counts by value; equal edges are one. As in a histogram, a bin holds its lower edge, the last its upper too."""
+    ps = {f"_e{i}": i / bins for i in range(bins + 1)}
+    edges = quantiles(df, by, value, ps, spread=True).select(*by, F.array_sort(F.array_distinct(F.array(*ps))).alias("_e"))
+    met = df.join(edges, by).withColumn("_b", F.least(F.size(F.filter("_e", lambda x: x <= F.col(value))), F.size("_e") - 1))
+    hist = met.groupBy(*by, "_b").agg(F.sum(F.when(F.col(side) == 0, w)).alias("_p"), F.sum(F.when(F.col(side) == 1, w)).alias("_q"))
     dom = Window.partitionBy(*by)
     share = hist.withColumns({"_p": F.coalesce("_p", F.lit(0.0)) / F.sum("_p").over(dom), "_q": F.coalesce("_q", F.lit(0.0)) / F.sum("_q").over(dom)})
     m = (F.col("_p") + F.col("_q")) / 2
     part = lambda c: F.when(c > 0, c * F.log2(c / m)).otherwise(0.0)
-    return share.groupBy(*by).agg(F.sqrt(F.sum(part(F.col("_p")) + part(F.col("_q"))) / 2).alias("js"))
+    return share.groupBy(*by).agg(F.sqrt(F.greatest(F.sum(part(F.col("_p")) + part(F.col("_q"))) / 2, F.lit(0.0))).alias("js"))
+
+
+def estimates(df: DataFrame, domain: list[str], stratum: str, psu: str, y: str, w, share) -> DataFrame:
+    """domain, value, se, n, n_psu and srs_se, the error a simple random sample of that size would have.
+
+    share: true where y is 0 or 1, whose error follows from its mean; else from its standard deviation."""
+    r = ratio_se(df, domain, stratum, psu, F.col(y), F.lit(1.0), w)
+    s = df.groupBy(*domain).agg(F.count("*").alias("n"), F.stddev_samp(y).alias("_sd"), F.max(share).alias("_share"))
+    p = F.col("ratio")
+    srs = F.when(F.col("_share"), F.sqrt(p * (1 - p) / F.col("n"))).otherwise(F.col("_sd") / F.sqrt("n"))
+    return r.join(s, domain).select(*domain, p.alias("value"), "se", "n", "n_psu", srs.alias("srs_se"))
+
+
+def changes(est: DataFrame, domain: list[str], period: str, peers: list[str], least_n: int = 150, least_domains: int = 5) -> DataFrame:
+    """est with change (from the period just before), change_over_se, robust_z among the peers' changes, and reason where it isn't assessed.
+
+    est has a row a domain and period, so its windows are over series and over the domains of a period."""
+    w = Window.partitionBy(*domain).orderBy(period)
+    before = F.lag(period).over(w) == F.col(period) - 1
+    c = est.withColumns({"change": F.when(before, F.col("value") - F.lag("value").over(w)), "_cse": F.when(before, F.sqrt(F.col("se") ** 2 + F.lag("se").over(w) ** 2)), "_cons": F.coalesce(before, F.lit(False)), "_least": F.least("n", F.lag("n").over(w))})
+    first = est.agg(F.min(period).alias("_first"))
+    reason = F.when(F.col(period) == F.col("_first"), "NO_EARLIER_PERIOD").when(~F.col("_cons"), "PREVIOUS_PERIOD_MISSING").when(F.col("_least") < least_n, "SAMPLE_TOO_SMALL").when(F.col("change").isNull(), "UNDEFINED")
+    c = c.join(F.broadcast(first)).withColumn("reason", reason).drop("_first", "_cons", "_least")
+    fit = c.where("reason is null").groupBy(*peers).agg(F.median("change").alias("_med"), F.count("*").alias("_k"))
+    m = c.join(fit, peers, "left").withColumn("_dev", F.when(F.col("reason").isNull(), F.abs(F.col("change") - F.col("_med"))))
+    mad = m.where("reason is null").groupBy(*peers).agg(F.median("_dev").alias("_mad"))
+    ok = (F.col("_k") >= least_domains) & (F.col("_mad") > 0)
+    m = m.join(mad, peers, "left").withColumns({"robust_z": F.when(F.col("reason").isNull() & ok, 0.6745 * (F.col("change") - F.col("_med")) / F.col("_mad")), "change_over_se": F.col("change") / F.col("_cse")})
+    return m.withColumn("reason", F.coalesce("reason", F.when(~ok, "TOO_FEW_DOMAINS"))).drop("_med", "_k", "_dev", "_mad", "_cse")
+
+
+def notable(df: DataFrame, robust_z: float = 3.5, over_se: float = 3.0) -> DataFrame:
+    hit = (F.abs("robust_z") >= robust_z) & (F.abs("change_over_se") >= over_se)
+    return df.withColumn("notable", F.coalesce(hit, F.lit(False)))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import special, tails, values
-from plumbline.operators import clusters, fuse, groups, rules, survey
+from plumbline.operators import audit, clusters, fuse, groups, rules, survey
 from plumbline.plans.roles import CASES, RECORDS, cases, records, table
+from plumbline.sources.scratch import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +108,7 @@ def stable_hash_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", values.hash_id("pg_", F.col("c_mktsegment"), F.col("c_nationkey")).alias("group_id"))
 
 
-@query("SELECT c_custkey, ((('0x' || substr(sha256(c_custkey::VARCHAR), 1, 13))::BIGINT) % 5)::INTEGER AS bucket FROM customer")
+@query("SELECT c_custkey, (list_reduce(list_transform(range(1, 17), lambda i: (instr('0123456789abcdef', substr(sha256(c_custkey::VARCHAR), i, 1)) - 1)::HUGEINT), lambda a, b: a * 16 + b) % 5)::INTEGER AS bucket FROM customer")
 def stable_hash_bucket(spark, d):
     return table(spark, d, "customer").select("c_custkey", values.hash_bucket(F.col("c_custkey"), 5).alias("bucket"))
 
@@ -144,9 +145,15 @@ _MONTHS = {str(q): [f"{3 * q + i + 1:02d}" for i in range(3)] for q in range(4)}
 rule_query("rule_within_period", {"type": "within_period", "column": "survey_date", "period": "q", "months": _MONTHS}, _dated, ORDER, "SELECT o_orderkey FROM orders WHERE quarter(o_orderdate) - 1 <> o_orderkey % 4")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+_coded = lambda s, d: table(s, d, "lineitem").withColumn("code", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("0"), F.col("l_linenumber"))).otherwise(F.col("l_linenumber").cast("string")))
+_CODED = "WITH c AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN '0' ELSE '' END || l_linenumber AS code FROM lineitem) SELECT l_orderkey, l_linenumber FROM c WHERE "
+rule_query("rule_code_as_text", {"type": "value_when", "column": "code", "values": ["1", "3", "06"], "when": {"code": {"not_in": ["05", "2"]}}}, _coded, LINE, _CODED + "code NOT IN ('05', '2') AND code NOT IN ('1', '3', '06')")
+rule_query("rule_code_as_number", {"type": "value_when", "column": "code", "values": [1, 3, 6], "when": {"l_quantity": {"min": 10}}}, _coded, LINE, _CODED + "l_quantity >= 10 AND l_linenumber NOT IN (1, 3, 6)")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
 def rule_references(spark, d):
-    codes = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("c"))
+    codes = table(spark, d, "nation").where("n_regionkey <> 2").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("c"))
     return rules.references(table(spark, d, "customer").withColumn("c", F.col("c_nationkey").cast("string")), codes, ["c"], ["c_custkey"])
 
 
@@ -312,7 +319,9 @@ def change_screen(spark, d):
     return r.select("p_brand", "period", F.round("change", 4).alias("change"), F.round(F.when((F.col("k") >= 5) & (F.col("mad") > 0), 0.6745 * (F.col("change") - F.col("median")) / F.col("mad")), 4).alias("robust_z"))
 
 
-@query()
+@query(f"""WITH {RECORDS}, q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM records GROUP BY 1), b AS (SELECT l_returnflag, l_linestatus, l_quantity, least(len(list_filter(list_distinct(e), lambda x: x <= l_extendedprice)), len(list_distinct(e)) - 1) AS b FROM records JOIN q USING (l_returnflag)),
+h AS (SELECT l_returnflag, b, coalesce(sum(l_quantity) FILTER (l_linestatus <> 'O'), 0) AS p, coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS q FROM b GROUP BY 1, 2), s AS (SELECT l_returnflag, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM h WINDOW w AS (PARTITION BY l_returnflag))
+SELECT l_returnflag, round(sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 4) AS js FROM s GROUP BY 1""")
 def js_distance(spark, d):
     r = records(spark, d).withColumn("side", (F.col("l_linestatus") == "O").cast("int"))
     return survey.js_distance(r, ["l_returnflag"], "side", "l_extendedprice", F.col("l_quantity")).select("l_returnflag", F.round("js", 4).alias("js"))
@@ -371,7 +380,7 @@ def temporal_drift(spark, d):
     return clusters.drift(a, ["l_suppkey"], "period", "v").select("l_suppkey", "period", F.round("drift", 4).alias("drift"))
 
 
-@query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_orderkey * 100 + l_linenumber AS id, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem WHERE l_suppkey <= 20)
+@query("""WITH l AS (SELECT l_suppkey, l_orderkey, l_orderkey * 100 + l_linenumber AS id, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)
 SELECT a.l_suppkey, a.id AS first_id, b.id AS second_id FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND a.id < b.id AND a.l_orderkey <> b.l_orderkey WHERE (a.l_quantity = b.l_quantity)::INT + (a.l_discount = b.l_discount)::INT + (a.l_tax = b.l_tax)::INT + (a.l_returnflag = b.l_returnflag)::INT >= 4""")
 def near_duplicate_pairs(spark, d):
     l = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
@@ -476,9 +485,12 @@ def rule_rollup(spark, d):
     return v.groupBy("l_orderkey").agg(F.count("*").alias("n_violations"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
 
 
-@query(f"""WITH {_TIERS} SELECT cluster, count(*) FILTER (tier = 'A') AS n_a, count(*) FILTER (tier = 'B') AS n_b, CASE WHEN min(p) < 0.0005 THEN 'HIGH' WHEN min(p) < 0.005 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM tiers GROUP BY 1""")
+@query(f"""WITH {_TIERS}, g AS (SELECT cluster, count(*) FILTER (tier = 'A') AS n_a, count(*) FILTER (tier = 'B') AS n_b, least(1.0::DOUBLE, count(*) * min(p)) AS gp FROM tiers GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY gp, cluster) AS r, count(*) OVER () AS m FROM g),
+q AS (SELECT *, least(1.0::DOUBLE, min(gp * m / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM r) SELECT cluster, n_a, n_b, round(q, 6) AS q, CASE WHEN q < 0.01 THEN 'HIGH' WHEN q < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM q""")
 def group_bands(spark, d):
-    return _tiers(spark, d).groupBy("cluster").agg(F.count_if(F.col("tier") == "A").alias("n_a"), F.count_if(F.col("tier") == "B").alias("n_b"), F.when(F.min("p") < 0.0005, "HIGH").when(F.min("p") < 0.005, "MEDIUM").otherwise("LOW").alias("band"))
+    g = _tiers(spark, d).groupBy("cluster").agg(F.count_if(F.col("tier") == "A").alias("n_a"), F.count_if(F.col("tier") == "B").alias("n_b"), F.least(F.lit(1.0), F.count("*") * F.min("p")).alias("gp")).withColumn("_all", F.lit(0))
+    band = F.when(F.col("q") < 0.01, "HIGH").when(F.col("q") < 0.05, "MEDIUM").otherwise("LOW")
+    return tails.bh(g, ["_all"], "gp", ["cluster"]).select("cluster", "n_a", "n_b", r6("q"), band.alias("band"))
 
 
 @query(f"WITH {CASES} SELECT 'value' AS mechanism, round(avg((p <= 0.02)::INT) / 0.02, 6) AS ratio FROM cases UNION ALL SELECT 'coding', round(avg((coding_p <= 0.02)::INT) / 0.02, 6) FROM cases WHERE coding_p IS NOT NULL")
@@ -525,14 +537,14 @@ def latest_decision(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("decision"), F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT user_id, event_id, CASE WHEN event_id % 1000 = 7 THEN 'HASH' ELSE 'LINK' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE event_id % 1000 = 7 OR (event_id % 1000 = 500 AND k > 1)")
 def audit_verify(spark, d):
-    """A hash chain a user over events, built and then verified row by row against the hash before it; one event in 1,000 is altered."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string"), "props"), 256).alias("body"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    chain = e.withColumn("previous", F.lag("body").over(w)).withColumn("stored", F.sha2(F.concat_ws("|", F.coalesce("previous", F.lit("")), "body"), 256)).withColumn("body", F.when(F.col("event_id") % 1000 == 7, F.lit("altered")).otherwise(F.col("body")))
-    again = F.sha2(F.concat_ws("|", F.coalesce(F.lag("body").over(w), F.lit("")), "body"), 256)
-    return chain.withColumn("ok", F.col("stored") == again).where(~F.col("ok")).select("user_id", "event_id")
+    """A hash chain a user over events, stored by audit.chain; then one event in 1,000 is altered and one link in 1,000 is cut."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.col("value").cast("string").alias("value"), "props")
+    stored = audit.chain(e, "user_id", "event_id", ["event_type", "value", "props"])
+    cut = (F.col("event_id") % 1000 == 500) & (F.col("previous_hash") != "")
+    altered = stored.withColumns({"event_type": F.when(F.col("event_id") % 1000 == 7, "altered").otherwise(F.col("event_type")), "previous_hash": F.when(cut, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("previous_hash"))})
+    return audit.verify(altered, "user_id", "event_id", ["event_type", "value", "props"]).select("user_id", "event_id", "fault")
 
 
 @query(f"""WITH {_TIERS}, g AS (SELECT tier, count(*) AS n, count(*) FILTER (impact > 250000) AS k FROM tiers GROUP BY 1), s AS (SELECT *, k / n::DOUBLE AS p FROM g)
@@ -555,10 +567,10 @@ def online_comparison(spark, d):
 @query(f"""WITH {CASES}, r AS (SELECT soft AS positive, row_number() OVER (ORDER BY p, sha256(case_id::VARCHAR)) AS k, count(*) OVER () AS n FROM cases), c AS (SELECT *, sum(positive::INT) OVER (ORDER BY k) AS hits FROM r)
 SELECT round(sum((positive AND k <= 0.01 * n)::INT) / ceil(any_value(n) * 0.01), 6) AS precision_1, round(sum((positive AND k <= 0.05 * n)::INT) / sum(positive::INT)::DOUBLE, 6) AS recall_5, round(sum(CASE WHEN positive THEN hits / k::DOUBLE END) / sum(positive::INT), 6) AS average_precision FROM c""")
 def ranking_metrics(spark, d):
-    c = cases(spark, d)
-    w = Window.orderBy("p", F.sha2(F.col("case_id").cast("string"), 256))
-    r = c.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(F.lit(0)))}).withColumn("hits", F.sum(F.col("soft").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = cases(spark, d).withColumn("h", F.sha2(F.col("case_id").cast("string"), 256))
     pos = F.col("soft").cast("int")
+    r = running(c, [F.col("p"), F.col("h")], {"k": F.lit(1), "hits": pos}).withColumns({"k": F.col("k") + 1, "hits": F.col("hits") + pos})
+    r = r.join(F.broadcast(c.agg(F.count("*").alias("n"))))
     return r.agg(F.round(F.sum(F.when(F.col("k") <= 0.01 * F.col("n"), pos).otherwise(0)) / F.ceil(F.max("n") * 0.01), 6).alias("precision_1"), F.round(F.sum(F.when(F.col("k") <= 0.05 * F.col("n"), pos).otherwise(0)) / F.sum(pos), 6).alias("recall_5"), F.round(F.sum(F.when(F.col("soft"), F.col("hits") / F.col("k"))) / F.sum(pos), 6).alias("average_precision"))
 
 
@@ -587,9 +599,16 @@ def conformal_tail(spark, d):
     return tails.out_of_sample(r.where("not cal").drop("cal"), r.where("cal").select("g", "a"), ["g"], "a").select("o_orderkey", F.round("upper", 6).alias("p"))
 
 
+def _load() -> None:
+    """The other modules of plans register their queries here as they are imported."""
+    from plumbline.plans import areas, fieldwork, ingest, models, review  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)

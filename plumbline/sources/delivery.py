@@ -15,19 +15,22 @@ class ContractError(ValueError):
 
 @dataclass(frozen=True)
 class Contract:
-    """columns: concept -> header; required concepts; key: concepts of the composite key; whitelist: further headers allowed."""
+    """columns: concept -> header; required concepts; key: concepts of the composite key; whitelist: further headers a delivery
+    must have; count: documented number of columns; types: header -> Spark type."""
 
     columns: dict[str, str]
     required: tuple[str, ...]
     key: tuple[str, ...] = ()
     count: int | None = None
     whitelist: frozenset[str] = field(default_factory=frozenset)
+    types: dict[str, str] = field(default_factory=dict)
 
     def check(self, headers: list[str]) -> list[tuple[str, str]]:
         """(severity, message) of every deviation."""
         out = [("failure", f"missing {c}: {self.columns[c]}") for c in self.required if self.columns[c] not in headers]
         if self.count is not None and len(headers) != self.count:
             out.append(("warning", f"{len(headers)} columns, documented {self.count}"))
+        out += [("failure", f"missing whitelisted column {h}") for h in sorted(self.whitelist) if h not in headers]
         if self.whitelist:
             out += [("warning", f"unknown column {h}") for h in headers if h not in self.whitelist and h not in self.columns.values()]
         return out
@@ -43,6 +46,7 @@ def read_csv(spark: SparkSession, path: str, headers: list[str], strict: bool =
 def conform(df: DataFrame, contract: Contract) -> DataFrame:
     """Concept columns under their own names; fails where a required one is missing or two headers mean one concept."""
     failures = [m for s, m in contract.check(df.columns) if s == "failure"]
+    failures += [f"{h} is {df.schema[h].dataType.simpleString()}, not {t}" for h, t in contract.types.items() if h in df.columns and df.schema[h].dataType.simpleString() != t]
     if failures:
         raise ContractError("; ".join(failures))
     taken = {c: h for c, h in contract.columns.items() if h in df.columns}
@@ -79,3 +83,29 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def load_releases(releases: dict[str, tuple[DataFrame, dict[str, str]]], concepts: list[str]) -> DataFrame:
+    """Releases with their own headers (concept -> header) in one table of the concepts asked for, and the release; only those columns are read."""
+    out = None
+    for name, (df, headers) in releases.items():
+        if missing := [c for c in concepts if headers.get(c) not in df.columns]:
+            raise ContractError(f"{name}: missing {missing}")
+        own = df.select(F.lit(name).alias("release"), *[F.col(headers[c]).alias(c) for c in concepts])
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def write_ordered_csv(df: DataFrame, order: list, path: str) -> None:
+    """The rows in order with their position, in files whose names follow the order."""
+    from plumbline.sources.scratch import numbered
+
+    own = numbered(df, order, "position")
+    own.repartitionByRange("position").sortWithinPartitions("position").write.mode("errorifexists").option("header", True).csv(path)
+
+
+def snapshot(df: DataFrame, path: str) -> dict:
+    """Writes a reference table once and returns its row count and content digest."""
+    write_stage(df, path)
+    found = content_digest(df.sparkSession.read.parquet(path)).first()
+    return {"n_rows": found["n_rows"], "digest": str(found["digest"])}

@@ -7,7 +7,7 @@ import pytest
 from plumbline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["peer_tail_probability", "history_tail_probability", "rule_unique", "rule_count_matches", "g_statistic", "mann_whitney_u", "temporal_drift", "queue_tiers", "variable_evidence", "value_impact"]
+catalog.queries()
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +23,6 @@ def rows(df):
     return sorted(str([None if pd.isna(v) else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r]) for r in df[cols].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, con, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.ORACLES[name]).df())

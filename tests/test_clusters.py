@@ -17,9 +17,7 @@ def test_every_supplier_is_compared(spark):
     con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
     sql = catalog.ORACLES["near_duplicate_pairs"]
     got = sorted(map(tuple, catalog.QUERIES["near_duplicate_pairs"](spark, SF).collect()))
-    assert got == sorted(con.sql(sql.replace(" WHERE l_suppkey <= 20", "")).fetchall())
-    assert [r for r in got if r[0] <= 20] == sorted(con.sql(sql).fetchall())
-    assert max(r[0] for r in got) > 20
+    assert got == sorted(con.sql(sql).fetchall()) and max(r[0] for r in got) > 20
 
 
 @pytest.mark.parametrize(("common", "equal"), [(4, 0.95), (4, 0.7), (2, 0.6), (6, 0.8)])
