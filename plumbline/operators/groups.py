@@ -14,10 +14,13 @@ def assign(df: DataFrame, levels: list[list[str]], minimum: int = 30) -> DataFra
     """df with level (NULL if none is large enough) and group_size. Sizes count all eligible rows, also those assigned earlier.
 
     A row with a null in a level's dimensions has no group there and backs off to the next level.
-    Counts are partial before their shuffle; each level's counts come back by a join that Spark broadcasts if small."""
+    The rows are counted once, by all dimensions; each level's sizes are sums of those counts, and come back by a join
+    that Spark broadcasts if small."""
+    every = list(dict.fromkeys(c for dims in levels for c in dims))
+    counts = written(df.groupBy(*every).agg(F.count("*").alias("_c")), "sizes")
     out = df
     for i, dims in enumerate(levels):
-        sizes = df.groupBy(*dims).agg(F.count("*").alias(f"_n{i}"))
+        sizes = counts.groupBy(*dims).agg(F.sum("_c").alias(f"_n{i}")).where(f"_n{i} >= {int(minimum)}")
         out = out.join(sizes, dims, "left")
     level = F.coalesce(*[F.when(F.col(f"_n{i}") >= minimum, i) for i in range(len(levels))])
     size = F.coalesce(*[F.when(F.col(f"_n{i}") >= minimum, F.col(f"_n{i}")) for i in range(len(levels))])
@@ -50,6 +53,8 @@ def evidence(df: DataFrame, levels: list[list[str]], value: str, minimum: int =
     sizes = {r["level"]: r["n"] for r in rows.where("level is not null").groupBy("level").agg(F.max("group_size").alias("n")).collect()}  # a row a level
     ps, parts = {"median": 0.5, "q05": 0.05, "q95": 0.95}, []
     for i, dims in enumerate(levels):
+        if i not in sizes and (i or sizes):  # a level without groups; the first gives its columns where no level has any
+            continue
         used = rows.where(F.col("level") == i).select(*dims).distinct()
         members = rows.join(used, dims, "left_semi")
         if sizes.get(i, 0) > large:

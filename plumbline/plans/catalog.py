@@ -192,7 +192,8 @@ SELECT l_orderkey, l_linenumber, level, n, round(median, 6) AS median, round(q05
  round((below + 0.5 * (le - below - 1))::DOUBLE / (n - 1), 6) AS loo_percentile, round(least(1.0::DOUBLE, 2 * least((n - below)::DOUBLE / n, le::DOUBLE / n)), 6) AS two_sided,
  CASE WHEN n - below < le THEN 'HIGH' WHEN n - below > le THEN 'LOW' ELSE 'CENTRE' END AS direction FROM every WHERE level = lv""")
 def peer_tail_probability(spark, d):
-    e = groups.evidence(records(spark, d), LEVELS, "l_extendedprice")
+    r = records(spark, d).select("l_orderkey", "l_linenumber", *LEVELS[0], "l_extendedprice")
+    e = groups.evidence(r, LEVELS, "l_extendedprice")
     return e.select("l_orderkey", "l_linenumber", "level", "n", r6("median"), r6("q05"), r6("q95"), r6("midrank"), r6("loo_percentile"), r6("two_sided"), "direction")
 
 
