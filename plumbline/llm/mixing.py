@@ -8,7 +8,8 @@ documents are ordered by key, and their sizes are summed until the target is met
 half of it fits).
 
 The running sums need no source in one task: keys are cut into bins, sizes are summed by (source, bin), and only the
-one bin of each source in which its target falls is ordered row by row. The number of bins follows the row count.
+one bin of each source in which its target falls is ordered row by row. The number of bins follows the row count,
+without a limit, so that bin holds about `BIN_ROWS` rows at every size. Targets are found over one row a source.
 
 Edge cases: null or empty text has size 0 and quality 1; a null source is a source of its own; repeated rows have
 equal keys and are drawn one by one; a null id is drawn by its text; an empty table gives an empty result; result
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     base = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     keyed = base.withColumn("size", size).withColumn("_e", -F.log(uniform(F.col("_key"), F.col("_text"), seed)) / quality(F.col("_text"), F.col("size"))).withColumn("_tie", F.xxhash64("_text")).drop("_text")
     rows = written(keyed, "sized")
-    n_bins = max(64, min(1 << 16, rows.count() // BIN_ROWS))
+    n_bins = max(64, rows.count() // BIN_ROWS)
     rows = rows.withColumn("_bin", F.least(F.floor((1 - F.exp(-F.col("_e"))) * n_bins), F.lit(n_bins - 1)).cast("int"))
     by_bin = rows.groupBy("source", "_bin").agg(F.sum("size").alias("n"))
     plan = targets(by_bin.groupBy("source").agg(F.sum("n").alias("source_size")), share, most)
