@@ -18,6 +18,7 @@ doc_id that is not null (null if there is none); an empty table gives an empty r
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -98,18 +99,42 @@ def links(distinct: DataFrame, radius: int = RADIUS, small: int = SMALL) -> Data
     return pairs.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+#: So few links are contracted at once in one task.
+LAST = 10_000
+
+
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The least node of its component for every node of the links."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return pd.DataFrame({"a": list(up), "root": [find(x) for x in up]}, dtype="int64")
+
+
+def components(edges: DataFrame, max_rounds: int = 50, last: int = LAST) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is one node of the component. Contracts by least-neighbour hooking.
 
     Each round maps every node to the least of itself and its neighbours, follows that map once more, renames the
     links and drops those that became loops. Nodes are ordered by a hash that changes with the round, so that about a
-    third of the nodes are left after each round, whatever the shape. The maps of all rounds are composed at the end.
+    third of the nodes are left after each round, whatever the shape. At most `last` links are left to one task. The maps of all rounds are composed at the end.
     Each is written, so a lost executor costs a reread."""
     spark = edges.sparkSession
     now = written(edges.select("a", "b").where("a <> b"), "links")
     maps = []
     for round_no in range(max_rounds):
-        if not now.take(1):
+        left = now.count()
+        if not left:
+            break
+        if left <= last:
+            maps.append(written(now.groupBy().applyInPandas(_united, "a long, root long"), "hooks"))
             break
         rank = lambda c: F.struct(F.xxhash64(F.lit(round_no), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -68,6 +68,13 @@ def test_components_equal_brute_force(spark):
     for small in (2, 8):
         got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, small=small).collect()}
         assert got == {i: find(i) for i in range(len(prints))}
+    links = simhash.links(df.select("fp").distinct())
+    number = {simhash.signed(p): i for i, p in enumerate(prints)}
+    for last in (0, 20, 10**6):
+        members = {}
+        for r in simhash.components(links, last=last).collect():
+            members.setdefault(r["root"], set()).add(find(number[r["node"]]))
+        assert all(len(m) == 1 for m in members.values()) and len({next(iter(m)) for m in members.values()}) == len(members)
 
 
 def test_simhash_bits():
