@@ -1,7 +1,9 @@
 """Global order and ranks over ranges against their window forms."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ def test_large_groups_give_the_same_evidence(spark):
     assert got[0] == got[1] and len(got[0]) == 300
 
 
-def test_no_plan_of_the_queue_puts_all_rows_in_one_task(spark):
+@pytest.mark.parametrize("name", ["queue_order", "case_page", "ranking_metrics", "queue_tiers"])
+def test_only_totals_of_partitions_are_ordered_in_one_task(spark, name):
     from plumbline.plans import catalog
 
-    plan = catalog.queries()["queue_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowSpecDefinition" not in plan or "_part" in plan
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    unpartitioned = [x for x in re.findall(r"windowspecdefinition\(([^,]+)", plan) if " ASC" in x or " DESC" in x]
+    assert all(x.startswith("_part#") for x in unpartitioned) and (unpartitioned or name == "queue_tiers")
