@@ -77,9 +77,10 @@ def gather(pool: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 class Pool:
     """Ids of words, found in batches by `fill` (distinct words -> all their ids in order, and how many each has).
 
-    Words seen twice in a batch are kept, until `limit` are held and the pool starts anew, so it never grows with the corpus."""
+    All are kept, until `limit` are held and the pool starts anew, so it never grows with the corpus. A batch of more new
+    words than fit keeps the ones seen twice in it, if those fit."""
 
-    def __init__(self, fill: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 200_000):
+    def __init__(self, fill: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 500_000):
         self.fill, self.limit, self.dtype = fill, limit, np.dtype(dtype)
         self._empty()
 
@@ -96,7 +97,9 @@ class Pool:
         fresh, fresh_n = self.fill(missing) if len(missing) else (self.ids[:0], self.lens[:0])
         pool, lens = np.concatenate((self.ids, fresh)), np.concatenate((self.lens, fresh_n))
         out = gather(pool, lens, row[codes])
-        keep = np.flatnonzero(new & (np.bincount(codes, minlength=len(words)) > 1))
+        keep = np.flatnonzero(new)
+        if len(self.words) + len(keep) > self.limit:
+            keep = np.flatnonzero(new & (np.bincount(codes, minlength=len(words)) > 1))
         if len(self.words) + len(keep) > self.limit:
             self._empty()
         elif len(keep):
