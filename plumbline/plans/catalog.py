@@ -602,7 +602,7 @@ def conformal_tail(spark, d):
 
 def _load() -> None:
     """The other modules of plans register their queries here as they are imported."""
-    from plumbline.plans import areas, fieldwork, ingest, models, review  # noqa: F401
+    from plumbline.plans import areas, evaluation, fieldwork, ingest, models, review  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
