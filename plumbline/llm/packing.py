@@ -2,13 +2,14 @@
 
 Documents are encoded and only those longer than the capacity are cut. Full pieces are sequences of their own. The
 other pieces are dealt at random (by checksum of their number) into groups of about `group` pieces; each group is a bin-packing
-problem of bounded size, solved on `islands` islands. A solution is a set of bins. A population starts with best fit over
-the decreasing order and over random orders. Crossover injects whole well-filled bins of one parent into the other,
-drops the bins that hold an injected piece, opens the worst ones, and best-fits the displaced pieces, largest first.
-Children replace the worst, by Falkenauer's measure. Every group is evolved: an island stops when a child was made and
-its best solution meets the lower bound (which proves it), or after `WORK` placed pieces. Then every island's elite
-moves to the next island of its ring; groups that are proven take no part in later rounds. `packed` reports crossovers
-and bounds of each group with `report`.
+problem of bounded size, solved on `islands` islands. A solution is a set of bins. A population of `POPULATION` starts with best
+fit over the decreasing order and over random orders. Crossover injects well-filled bins of one parent into the other
+(one to half of them), drops the bins that hold an injected piece, opens the worst ones, and best-fits the displaced
+pieces, largest first. Mutation empties a few bins and best-fits their pieces in random order. Children replace the
+worst, by Falkenauer's measure. Every group is evolved: an island stops when a child was made and its best solution
+meets the lower bound (which proves it), or after `PATIENCE` children in a row without a bin fewer, however large the
+group is. Then every island's elite moves to the next island of its ring; groups that are proven take no part in later
+rounds. `report` gives crossovers and bounds of each group.
 
 A group leaves at most about one loose bin, so dealing costs less than one sequence in thousands.
 
@@ -31,8 +32,8 @@ from plumbline.llm.common import as_string, slices, written
 from plumbline.llm.tokens import END, WORD_BPE, encode, tokenizer_path
 
 CAPACITY, GROUP, ISLANDS, ROUNDS, POPULATION, WELL_FILLED = 2048, 20_000, 2, 3, 6, 0.995
-#: A round of an island places so many pieces at most, whatever the size of its group.
-WORK = 150_000
+#: An island rests for a round after so many crossovers in a row without a bin fewer, whatever the size of its group.
+PATIENCE = 1_500
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, by_word: bool = True, with_ids: bool = False) -> DataFrame:
@@ -75,91 +76,115 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def best_fit(bins: list[list[int]], fills: list[int], items: list[int], sizes: list[int], capacity: int) -> None:
-    """Puts each item in the fullest bin with room, else in a new one. Bins are found by room in a bit set, so a step costs no search."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0
-    for b, f in enumerate(fills):
-        by_room[capacity - f].append(b)
-        rooms |= 1 << (capacity - f)
-    for i in items:
-        s = sizes[i]
+def best_fit(fills: np.ndarray, lengths: list[int], capacity: int) -> list[int]:
+    """The bin of each item: the fullest with room, else a new one. Bins are found by room in a bit set, so a step costs no search."""
+    by_room: dict[int, list[int]] = {}
+    rooms, bins, out = 0, len(fills), []
+    some = np.flatnonzero(capacity - fills >= min(lengths, default=0))
+    for b, room in zip(some.tolist(), (capacity - fills[some]).tolist(), strict=True):
+        by_room.setdefault(room, []).append(b)
+        rooms |= 1 << room
+    for s in lengths:
         above = rooms >> s
         if above:
             room = s + (above & -above).bit_length() - 1
             b = by_room[room].pop()
             if not by_room[room]:
                 rooms ^= 1 << room
-            bins[b].append(i)
-            fills[b] += s
         else:
-            b, room = len(bins), capacity
-            bins.append([i])
-            fills.append(s)
-        left = room - s
-        by_room[left].append(b)
-        rooms |= 1 << left
-
-
-def fill(items: list[int], sizes: list[int]) -> int:
-    return sum([sizes[i] for i in items])
+            b, room = bins, capacity
+            bins += 1
+        out.append(b)
+        by_room.setdefault(room - s, []).append(b)
+        rooms |= 1 << (room - s)
+    return out
+
+
+class Solution:
+    """The bin of each item, and the fill of each bin."""
+
+    def __init__(self, which: np.ndarray, fills: np.ndarray, capacity: int):
+        self.which, self.fills = which, fills
+        # fewer bins first, then fuller ones (Falkenauer's measure): lower is better
+        self.quality = len(fills), -int((fills * fills).sum()) / capacity**2
+
+    @classmethod
+    def of(cls, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> Solution:
+        which = np.zeros(len(lengths), np.int64)
+        for b, x in enumerate(bins):
+            which[x] = b
+        return cls(which, np.bincount(which, lengths, len(bins)).astype(np.int64), capacity)
+
+    @classmethod
+    def refitted(cls, which: np.ndarray, fills: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int) -> Solution:
+        """The loose items best-fitted in their order into bins of these fills."""
+        which[loose] = best_fit(fills, lengths[loose].tolist(), capacity)
+        more = np.bincount(which[loose], lengths[loose], len(fills)).astype(np.int64)
+        more[: len(fills)] += fills
+        return cls(which, more, capacity)
+
+    def bins(self) -> list[list[int]]:
+        order = np.argsort(self.which, kind="stable")
+        return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(self.which, minlength=len(self.fills)))[:-1])] if len(order) else []
+
+
+def crossed(a: Solution, b: Solution, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Solution:
+    """b with some of a's well-filled bins injected, from one to half; displaced items are best-fitted, largest first."""
+    good = np.flatnonzero(a.fills >= min(WELL_FILLED * capacity, int(a.fills.max())))
+    taken = good[rng.random(len(good)) < 0.5 ** rng.uniform(1, 1 + np.log2(len(good)))]
+    take = np.zeros(len(a.fills), bool)
+    take[taken if len(taken) else good[rng.integers(len(good))]] = True
+    inside = take[a.which]
+    gone = np.zeros(len(b.fills), bool)
+    gone[b.which[inside]] = True
+    whole = np.flatnonzero(~gone)
+    if len(whole):  # at least the worst one is opened: its items get another chance
+        opened = whole[b.fills[whole] < 0.9 * capacity]
+        gone[opened if len(opened) else whole[np.argmin(b.fills[whole])]] = True
+    which = np.where(inside, (np.cumsum(take) - 1)[a.which], (np.cumsum(~gone) - 1 + int(take.sum()))[b.which])
+    loose = np.flatnonzero(gone[b.which] & ~inside)
+    return Solution.refitted(which, np.concatenate((a.fills[take], b.fills[~gone])), loose[np.argsort(-lengths[loose], kind="stable")], lengths, capacity)
+
+
+def mutated(a: Solution, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Solution:
+    """The worst bin and two to eight others emptied; their items are best-fitted in random order."""
+    gone = np.zeros(len(a.fills), bool)
+    gone[rng.integers(0, len(gone), rng.integers(2, 9))] = True
+    gone[np.argmin(a.fills)] = True
+    loose = np.flatnonzero(gone[a.which])
+    return Solution.refitted((np.cumsum(~gone) - 1)[a.which], a.fills[~gone], rng.permutation(loose), lengths, capacity)
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """b with about half of a's well-filled bins injected; displaced items are best-fitted, largest first."""
-    fills = [fill(x, sizes) for x in a]
-    well = min(WELL_FILLED * capacity, max(fills))
-    good = [x for x, f in zip(a, fills, strict=True) if f >= well]
-    bins = [list(x) for x, take in zip(good, (rng.random(len(good)) < 0.5).tolist(), strict=True) if take]
-    inside = {i for x in bins for i in x}
-    injected, loose = len(bins), []
-    for x in b:
-        if inside.isdisjoint(x):
-            bins.append(list(x))
-        else:
-            loose += [i for i in x if i not in inside]
-    fills = [fill(x, sizes) for x in bins]
-    opened = {injected + k for k in range(len(bins) - injected) if fills[injected + k] < 0.9 * capacity}
-    if not opened and len(bins) > injected:  # at least the worst one: its items get another chance
-        opened = {min(range(injected, len(bins)), key=fills.__getitem__)}
-    for k in opened:
-        loose += bins[k]
-    kept = [k for k in range(len(bins)) if k not in opened]
-    bins, fills = [bins[k] for k in kept], [fills[k] for k in kept]
-    loose.sort(key=lambda i: (-sizes[i], i))
-    best_fit(bins, fills, loose, sizes, capacity)
-    return bins
+    """`crossed` on lists of bins."""
+    lengths = np.array(sizes, np.int64)
+    return crossed(Solution.of(a, lengths, capacity), Solution.of(b, lengths, capacity), lengths, capacity, rng).bins()
 
 
-def quality(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (Falkenauer's measure): lower is better."""
-    return len(bins), -sum([(fill(x, sizes) / capacity) ** 2 for x in bins])
+def fit(order: np.ndarray, lengths: np.ndarray, capacity: int) -> Solution:
+    return Solution.refitted(np.zeros(len(lengths), np.int64), np.zeros(0, np.int64), order, lengths, capacity)
 
 
 def fitted(order: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
-    bins: list[list[int]] = []
-    best_fit(bins, [], order, sizes, capacity)
-    return bins
+    return fit(np.array(order, np.int64), np.array(sizes, np.int64), capacity).bins()
 
 
-def evolve(sizes: list[int], start: list[list[list[int]]], capacity: int, seed: int, work: int = WORK) -> tuple[list[list[int]], int, int]:
+def evolve(sizes: list[int], start: list[list[list[int]]], capacity: int, seed: int, patience: int = PATIENCE) -> tuple[list[list[int]], int, int]:
     """(best solution, crossovers, lower bound). start: the elites that have come; without any, best fit in decreasing and random orders."""
-    rng, bound, n = np.random.default_rng(seed), lower_bound(np.array(sizes, np.int64), capacity), len(sizes)
-    born = list(start) or [fitted(sorted(range(n), key=lambda i: (-sizes[i], i)), sizes, capacity)]
-    limit, placed, made = max(3, work // max(n, 1)), 0, 0
-    while len(born) < min(POPULATION, max(2, limit // 2)):
-        born.append(fitted(rng.permutation(n).tolist(), sizes, capacity))
-        placed += 1
-    people = sorted(((quality(x, sizes, capacity), x) for x in born), key=lambda p: p[0])
-    while (not made or people[0][0][0] > bound) and (not made or placed + made < limit):
-        i, j = sorted(rng.choice(len(people), 2, replace=False))
-        a, b = (people[i][1], people[j][1]) if rng.random() < 0.5 else (people[j][1], people[i][1])
-        child = crossover(a, b, sizes, capacity, rng)
+    rng, lengths = np.random.default_rng(seed), np.array(sizes, np.int64)
+    bound = lower_bound(lengths, capacity)
+    born = [Solution.of(x, lengths, capacity) for x in start] or [fit(np.argsort(-lengths, kind="stable"), lengths, capacity)]
+    while len(born) < POPULATION:
+        born.append(fit(rng.permutation(len(lengths)), lengths, capacity))
+    people, made, still = sorted(born, key=lambda p: p.quality), 0, 0
+    while not made or (people[0].quality[0] > bound and still < patience):
+        i, j = rng.choice(len(people), 2, replace=False)
+        child = mutated(crossed(people[i], people[j], lengths, capacity, rng), lengths, capacity, rng)
         made += 1
-        own = quality(child, sizes, capacity)
-        if all(own != p[0] for p in people):  # equal measures would fill the population with one solution
-            people = sorted([*people, (own, child)], key=lambda p: p[0])[: max(len(people), 2)]
-    return people[0][1], made, bound
+        still = 0 if child.quality[0] < people[0].quality[0] else still + 1
+        if all(child.quality != p.quality for p in people):  # equal measures would fill the population with one solution
+            people = sorted([*people, child], key=lambda p: p.quality)[: len(people)]
+    return people[0].bins(), made, bound
 
 
 FOUND = "grp long, island long, origin long, item long, length long, bin long, n_bins long, crossovers long, bound long"

@@ -126,6 +126,20 @@ def test_evolution_beats_best_fit_where_that_is_not_optimal():
     assert 5 * 40 <= won < 0.95 * fit
 
 
+def test_large_groups_are_searched_as_long_as_small_ones():
+    """The search of a group ends by its bound or by want of progress, never by the group's size."""
+    rng = np.random.default_rng(6)
+    sizes = []
+    for _ in range(400):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        sizes += [a, b, 1000 - a - b]
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    bins, made, bound = packing.evolve(sizes, [], 1000, 3)
+    assert valid(bins, sizes, 1000) and bound == 400 and made >= packing.PATIENCE
+    assert len(bins) < 0.95 * len(packing.fitted(order, sizes, 1000))
+
+
 def test_migration_continues_open_groups_only(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(s)) for i, s in enumerate(rng.integers(250, 500, 400))]
