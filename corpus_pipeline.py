@@ -23,6 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Links of op5's operator on 5-word shingles, checked exactly at 0.8, and those its fingerprints can't reach."""
     return shinglejoin.keep_one(docs)
 
 

@@ -1,15 +1,19 @@
 """Near-duplicate classes by word shingles: pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Pairs come by prefix filtering, which loses none: with all shingles in one order, two sets of similarity s share one of
-the first n - ceil(s n) + 1 shingles of each. The order puts shingles of crowded hash slots last, so common lines
-rarely stand in a prefix; any order gives the same pairs. Each set also has a bitmap of parities, about a bit a member,
-whose differing bits are never more than the sets' differing members, so a pair with too many is no pair. The longer of
-two bitmaps is folded to the size of the other. All other pairs are checked on the whole sets.
+First come the links of op5's operator: each set has a SimHash fingerprint, fingerprints link by covering masks
+(`simhash.links`), and the sets of a link or of one fingerprint are checked exactly. A similarity bounds no distance of
+fingerprints, so the sets still apart are compared by prefix filtering, which loses no pair: with all shingles in one
+order, two sets of similarity s share one of the first n - ceil(s n) + 1 shingles of each. The order puts shingles of
+crowded hash slots last, so common lines rarely stand in a prefix; any order gives the same pairs. Each set also has a
+bitmap of parities, about a bit a member, whose differing bits are never more than the sets' differing members, so a
+pair with too many is no pair. The longer of two bitmaps is folded to the size of the other. All other pairs are checked
+on the whole sets.
 
 Work is done on distinct sets, so copies never multiply. In a bucket (the sets with one shingle in their prefix) of up
-to `small` members all pairs are checked. The members of a larger one are checked against its least member first, and
-then only those still in different components, in blocks of bounded size that give as rows only the pairs their
-bitmaps allow. So a large class costs a star; a large bucket of unlike sets costs comparisons of its blocks, not rows. Shingles and sets are known by 64-bit hashes.
+to `small` members all pairs not yet in one component are checked. The members of a larger one are checked against its
+least member first, and then only those still in different components, in blocks of bounded size that give as rows only
+the pairs their bitmaps allow. So a large class costs a star; a large bucket of unlike sets costs comparisons of its
+blocks, not rows. Shingles and sets are known by 64-bit hashes.
 
 Edge cases: null or empty text has the empty set, which is like itself only; fewer than 5 words make one shingle of
 the whole sequence; case is ignored (ASCII); repeated rows share a class; an empty table gives an empty result.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import as_string, coded, slices, words_of, written
-from plumbline.llm.simhash import chosen_rows, components
+from plumbline.llm.simhash import chosen_rows, components, links, majority
 
 WORDS, SEED, SMALL, SLOTS, MAP_BITS, BLOCK = 5, 42, 8, 1 << 18, 512, 512
 #: Similarity as a fraction, so that no limit is rounded.
@@ -95,7 +99,7 @@ def crowded(slim: DataFrame) -> dict[int, int]:
 
 
 def prefixes(slim: DataFrame) -> DataFrame:
-    """_id, sh (hash of the set), n, bits (parities), prefix of every row."""
+    """_id, sh (hash of the set), fp (fingerprint), n, bits (parities), prefix of every row."""
     slots = crowded(slim)
     shared = slim.sparkSession.sparkContext.broadcast((np.fromiter(slots, np.int64, len(slots)), np.fromiter(slots.values(), np.int64, len(slots))))
     kind = slim.schema["_id"].dataType.simpleString()
@@ -107,9 +111,10 @@ def prefixes(slim: DataFrame) -> DataFrame:
             for part in slices(batch, "_text"):
                 sets = sets_of(as_string(part.column("_text")))
                 heads = [own[np.argsort(rank[(own & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")[: len(own) + (-OVER * len(own)) // UNDER + 1]] for own in sets]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(map(set_hash, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([parities(s) for s in sets]), _lists(heads)], ["_id", "sh", "n", "bits", "prefix"])
+                fp = majority(np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(map(set_hash, sets), pa.int64()), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), _lists([parities(s) for s in sets]), _lists(heads)], ["_id", "sh", "fp", "n", "bits", "prefix"])
 
-    return slim.select("_id", "_text").mapInArrow(run, f"_id {kind}, sh long, n int, bits array<long>, prefix array<long>")
+    return slim.select("_id", "_text").mapInArrow(run, f"_id {kind}, sh long, fp long, n int, bits array<long>, prefix array<long>")
 
 
 def sets_by_hash(slim: DataFrame, need: DataFrame) -> DataFrame:
@@ -192,17 +197,31 @@ def crossed(left: DataFrame, distinct: DataFrame) -> DataFrame:
     return met.join(own, "sh").groupBy("t", "i", "j").applyInPandas(_between, "a long, b long")
 
 
+def _near(a: str, b: str):
+    return (UNDER * F.col(a) >= OVER * F.col(b)) & (UNDER * F.col(b) >= OVER * F.col(a))
+
+
+def covered(distinct: DataFrame) -> DataFrame:
+    """(a, b): sets of sizes that allow the similarity whose fingerprints are equal or linked by covering masks, as stars around the least set of a fingerprint."""
+    hubs = written(distinct.groupBy("fp").agg(F.min(F.struct("sh", "n")).alias("h")), "fingerprints")
+    hub = lambda c: hubs.select(F.col("fp").alias(c), F.col("h").alias(f"h{c}"))
+    linked = links(hubs.select("fp")).join(hub("a"), "a").join(hub("b"), "b").where(_near("ha.n", "hb.n")).select(F.col("ha.sh").alias("a"), F.col("hb.sh").alias("b"))
+    same = distinct.select("fp", "sh", "n").join(hubs, "fp").where((F.col("sh") != F.col("h.sh")) & _near("n", "h.n")).select(F.col("h.sh").alias("a"), F.col("sh").alias("b"))
+    return linked.unionByName(same)
+
+
 def similar(slim: DataFrame, distinct: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, root): the components of similar sets. distinct (sh, least, n, bits, prefix) must be written."""
+    """(node, root): the components of similar sets. distinct (sh, least, fp, n, bits, prefix) must be written."""
+    first = checked(written(covered(distinct), "covered"), slim, distinct)
     w = Window.partitionBy("t")
-    rows = distinct.select("sh", "n", F.explode("prefix").alias("t"))
-    met = written(rows.withColumns({"m": F.count("*").over(w), "hub": F.min(F.struct("sh", "n")).over(w)}).where("m > 1"), "buckets")
-    near = lambda a, b: (UNDER * F.col(a) >= OVER * F.col(b)) & (UNDER * F.col(b) >= OVER * F.col(a))
-    few = met.where(F.col("m") <= small).groupBy("t").agg(F.collect_list(F.struct("sh", "n")).alias("l"))  # at most `small` items
-    pairs = few.select("l", F.explode("l").alias("p")).select("p", F.explode("l").alias("q")).where((F.col("p.sh") < F.col("q.sh")) & near("p.n", "q.n")).select(F.col("p.sh").alias("a"), F.col("q.sh").alias("b"))
+    known = distinct.select("sh", "n", "prefix").join(components(first), F.col("sh") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sh"))
+    rows = known.select("sh", "n", "root", F.explode("prefix").alias("t"))
+    met = written(rows.withColumns({"m": F.count("*").over(w), "hub": F.min(F.struct("sh", "n", "root")).over(w)}).where("m > 1"), "buckets")
+    few = met.where(F.col("m") <= small).groupBy("t").agg(F.collect_list(F.struct("sh", "n", "root")).alias("l"))  # at most `small` items
+    pairs = few.select("l", F.explode("l").alias("p")).select("p", F.explode("l").alias("q")).where((F.col("p.sh") < F.col("q.sh")) & (F.col("p.root") != F.col("q.root")) & _near("p.n", "q.n")).select(F.col("p.sh").alias("a"), F.col("q.sh").alias("b"))
     many = met.where(F.col("m") > small)
-    star = many.where((F.col("sh") != F.col("hub.sh")) & near("n", "hub.n")).select(F.col("hub.sh").alias("a"), F.col("sh").alias("b"))
-    found = checked(written(pairs.unionByName(star).distinct(), "pairs"), slim, distinct)
+    star = many.where((F.col("root") != F.col("hub.root")) & _near("n", "hub.n")).select(F.col("hub.sh").alias("a"), F.col("sh").alias("b"))
+    found = first.unionByName(checked(written(pairs.unionByName(star).distinct(), "pairs"), slim, distinct))
     roots = components(found)
     if not many.take(1):
         return roots
@@ -217,7 +236,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int
     """(key, component_id): component_id is the least key of the class."""
     slim = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
     prints = written(prefixes(slim), "prefixes")
-    distinct = written(prints.groupBy("sh").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "distinct")
+    distinct = written(prints.groupBy("sh").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "distinct")
     named = distinct.select("sh", "least").join(similar(slim, distinct, small), F.col("sh") == F.col("node"), "left").select("sh", "least", F.coalesce("root", "sh").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("_id", "sh").join(named.join(ids, "root").select("sh", "component_id"), "sh").select(F.col("_id").alias(key), "component_id")

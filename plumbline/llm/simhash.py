@@ -39,6 +39,19 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fingerprints of the runs of hashes between bounds: a bit is set that is set in over half of a run; no hashes give zero."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, bounds[:-1][some], axis=0, dtype=np.int32)
+        over = (2 * counts > n[some, None]).astype(np.uint8)
+        out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def simhash_texts(col: pa.Array) -> np.ndarray:
     """The fingerprints of an Arrow array of texts without nulls, as unsigned 64-bit integers."""
     from xxhash import xxh64_intdigest
@@ -53,16 +66,7 @@ def simhash_texts(col: pa.Array) -> np.ndarray:
         elif w:
             hashes.append(xxh64_intdigest(b" ".join(w), SEED))
         bounds[i + 1] = len(hashes)
-    h = np.array(hashes, np.uint64)
-    n = np.diff(bounds)
-    out = np.zeros(len(col), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, bounds[:-1][some], axis=0, dtype=np.int32)
-        over = (2 * counts > n[some, None]).astype(np.uint8)
-        out[some] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return majority(np.array(hashes, np.uint64), bounds)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import shinglejoin
+from plumbline.llm import shinglejoin, simhash
 
 
 def shingles(text):
@@ -58,6 +59,25 @@ def test_classes_equal_brute_force(spark, texts, small):
     assert {r["doc_id"]: r["component_id"] for r in shinglejoin.classes(df, small=small).collect()} == want
 
 
+def test_covering_fingerprints_link_and_are_checked(spark, texts):
+    """Links of op5's operator unite sets without prefixes, if exactly similar; whatever the fingerprints are, no pair is lost."""
+    base = [f"w{i}" for i in range(4000)]
+    near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 4000, 100)]
+    slim = spark.createDataFrame(list(enumerate([*texts, " ".join(base), *near])), "_id long, _text string")
+    prints = shinglejoin.written(shinglejoin.prefixes(slim), "prefixes")
+    distinct = prints.groupBy("sh").agg(F.min("_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix")])
+    prints_of = {r["sh"]: r["fp"] for r in distinct.collect()}
+    pairs = [(r["a"], r["b"]) for r in shinglejoin.covered(distinct).collect()]
+    assert pairs and all(((prints_of[a] ^ prints_of[b]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS for a, b in pairs)
+    bare = shinglejoin.written(distinct.withColumn("prefix", F.array().cast("array<long>")), "bare")
+    assert len({r["root"] for r in shinglejoin.similar(slim, bare).collect()}) < shinglejoin.similar(slim, bare).count()
+    want = brute([r["_text"] for r in slim.orderBy("_id").collect()])
+    equal = shinglejoin.written(distinct.withColumn("fp", F.lit(0).cast("long")), "equal")
+    roots = {r["node"]: r["root"] for r in shinglejoin.similar(slim, equal).collect()}
+    mine = {r["_id"]: roots.get(r["sh"], r["sh"]) for r in prints.collect()}
+    assert all((mine[i] == mine[j]) == (want[i] == want[j]) for i in want for j in want if j < i)
+
+
 def test_stage_removes_near_copies(spark):
     import corpus_pipeline
 
