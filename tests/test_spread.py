@@ -55,3 +55,7 @@ def exchanged(plans):
 @pytest.mark.parametrize("name", ["median_woodruff", "weighted_quantile"])
 def test_no_task_sums_the_weights_of_a_domain(plans, name):
     assert all("_part" in by + order for by, order in windows(plans(name)))
+
+
+def test_impacts_meet_their_domain_without_a_sort(plans):
+    assert ("l_returnflag",) not in sorted_by(plans("value_impact"))
