@@ -9,6 +9,7 @@ from plumbline.functions import tails, values
 from plumbline.operators import survey
 from plumbline.plans.catalog import query, r6
 from plumbline.plans.roles import CASES, RECORDS, cases, records, table
+from plumbline.sources.scratch import written
 
 KEYS = ["area_level", "flag", "status", "indicator", "period"]
 #: A calendar of known events: id, period, flag or null for all.
@@ -22,12 +23,18 @@ est AS (SELECT area_level, flag, status, indicator, period, any_value(ratio) AS
  CASE indicator WHEN 'rate' THEN sqrt(any_value(ratio) * (1 - any_value(ratio)) / sum(n)) ELSE CASE WHEN sum(n) > 1 THEN sqrt((sum(syy) - sum(sy) * sum(sy) / sum(n)) / (sum(n) - 1)) / sqrt(sum(n)) END END AS srs_se FROM c GROUP BY area_level, flag, status, indicator, period)"""
 
 
+#: Rows of a task that sums PSUs; each counts for both levels and both indicators.
+ROWS_A_TASK = 250_000
+
+
 def _estimates(spark, d):
-    r = records(spark, d)
+    """The rows are written once, narrow. Those of a PSU meet in one exchange, before they are multiplied by levels and indicators."""
+    rows = written(records(spark, d).select(F.col("l_returnflag").alias("flag"), "l_linestatus", "period", "p_brand", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice"), "rows")
     levels = F.explode(F.array(*[F.struct(F.lit(a).alias("area_level"), (F.lit("") if a == "national" else F.col("l_linestatus")).alias("status")) for a in ("national", "state")]))
     kinds = F.explode(F.array(F.struct(F.lit("rate").alias("indicator"), (F.col("l_discount") > 0.05).cast("double").alias("y")), F.struct(F.lit("mean").alias("indicator"), F.col("l_extendedprice").alias("y"))))
-    long = r.select(F.col("l_returnflag").alias("flag"), "period", "p_brand", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", levels.alias("a")).select("*", kinds.alias("i")).select("a.*", "i.*", "flag", "period", "p_brand", "l_suppkey", "l_quantity")
-    return survey.estimates(long, KEYS, "p_brand", "l_suppkey", "y", F.col("l_quantity"), F.col("indicator") == "rate")
+    long = lambda r: r.select("*", levels.alias("a")).select("*", kinds.alias("i")).select("a.*", "i.*", "flag", "period", "p_brand", "l_suppkey", "l_quantity")
+    dealt = rows.repartition(rows.count() // ROWS_A_TASK + 1, "flag", "period", "p_brand", "l_suppkey")
+    return survey.estimates(long(rows), KEYS, "p_brand", "l_suppkey", "y", F.col("l_quantity"), F.col("indicator") == "rate", long(dealt))
 
 
 @query(f"WITH {_LONG} SELECT area_level, flag, status, indicator, period, n, round(value, 4) AS value, round(se, 4) AS se, round(srs_se, 4) AS srs_se, round((se / srs_se) ** 2, 4) AS design_effect FROM est")

@@ -59,3 +59,9 @@ def test_no_task_sums_the_weights_of_a_domain(plans, name):
 
 def test_impacts_meet_their_domain_without_a_sort(plans):
     assert ("l_returnflag",) not in sorted_by(plans("value_impact"))
+
+
+def test_psus_meet_before_levels_and_indicators_multiply_them(plans, monkeypatch):
+    monkeypatch.setattr("plumbline.plans.areas.ROWS_A_TASK", 1_000)
+    keys = exchanged(plans("area_estimates"))
+    assert ("flag", "period", "p_brand", "l_suppkey") in keys and not any({"area_level", "l_suppkey"} <= set(k) for k in keys)
