@@ -64,7 +64,7 @@ def area_changes(spark, d):
 SELECT area_level, flag, status, indicator, period, round(value - was, 4) + 0.0 AS same_season_change, event AS known_event, hit AND event IS NOT NULL AS expected, hit AND event IS NULL AS notable FROM s""")
 def known_events(spark, d):
     calendar = spark.createDataFrame(EVENTS, "id string, ep int, ef string")
-    c = survey.notable(_changes(spark, d), 1.0, 0.5)
+    c = written(survey.notable(_changes(spark, d), 1.0, 0.5), "changes")  # a row a domain and period, used twice
     own = c.alias("c").join(F.broadcast(calendar), (F.col("ep") == F.col("period")) & (F.col("ef").isNull() | (F.col("ef") == F.col("flag"))), "left").groupBy(*[F.col(f"c.{k}") for k in KEYS]).agg(F.first("value").alias("value"), F.first("notable").alias("hit"), F.min("id").alias("known_event"))
     was = own.select(*[k for k in KEYS if k != "period"], (F.col("period") + 4).alias("period"), F.col("value").alias("was"))
     s = own.join(was, KEYS, "left")

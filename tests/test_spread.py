@@ -69,3 +69,7 @@ def test_psus_meet_before_levels_and_indicators_multiply_them(plans, monkeypatch
 
 def test_estimates_are_made_once_for_their_changes(plans):
     assert sum(len(re.findall(r"Scan parquet.*lineitem", p)) for p in plans("area_changes")) == 1 and not any("lineitem" in p or "rows-" in p for p in plans("area_changes")[-1:])
+
+
+def test_changes_are_made_once_for_both_seasons(plans):
+    assert not any("lag(" in p for p in plans("known_events")[-1:])
