@@ -81,8 +81,10 @@ def run_integrity(spark, d):
 
 @query("SELECT count(*) AS n_rows, true AS same_content, false AS same_as_changed FROM lineitem")
 def content_digest(spark, d):
+    """The table's digest against those of its rows in other partitions (as many as it is read in at least) and with one supplier's tax altered."""
     t = table(spark, d, "lineitem")
-    one, two, other = (delivery.content_digest(x) for x in (t, t.repartition(7, "l_suppkey"), t.withColumn("l_tax", F.col("l_tax") + F.when(F.col("l_suppkey") == 1, 0.01).otherwise(0))))
+    parts = max(7, t.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one, two, other = (delivery.content_digest(x) for x in (t, t.repartition(parts, "l_suppkey"), t.withColumn("l_tax", F.col("l_tax") + F.when(F.col("l_suppkey") == 1, 0.01).otherwise(0))))
     both = one.select("n_rows", F.col("digest").alias("a")).join(two.select(F.col("digest").alias("b"))).join(other.select(F.col("digest").alias("c")))
     return both.select("n_rows", (F.col("a") == F.col("b")).alias("same_content"), (F.col("a") == F.col("c")).alias("same_as_changed"))
 

@@ -73,3 +73,12 @@ def test_estimates_are_made_once_for_their_changes(plans):
 
 def test_changes_are_made_once_for_both_seasons(plans):
     assert not any("lag(" in p for p in plans("known_events")[-1:])
+
+
+def test_digest_deals_rows_to_as_many_tasks_as_read_them(spark, plans):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        (n,) = {int(x) for p in plans("content_digest") for x in re.findall(r"hashpartitioning\(l_suppkey#\d+L?, (\d+)\)", p)}
+        assert n >= catalog.table(spark, SF, "lineitem").rdd.getNumPartitions() > 7
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
