@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import beside, met_by, numbered, running, written
+
 
 def g_test(df: DataFrame, cell: list[str], cluster: str, code: str) -> DataFrame:
     """G with Williams' correction of a cluster's code counts against leave-out shares (+0.5), its degrees of freedom and the largest difference."""
@@ -23,14 +25,17 @@ def g_test(df: DataFrame, cell: list[str], cluster: str, code: str) -> DataFrame
 
 
 def rank_sums(df: DataFrame, cell: list[str], cluster: str, value: str) -> DataFrame:
-    """Mann-Whitney U of a cluster against the rest of its cell, with tie-corrected sigma: one rank window for all clusters."""
-    w = Window.partitionBy(*cell)
-    order = w.orderBy(value)
-    r = df.withColumns({"_lt": F.rank().over(order) - 1, "_le": F.count("*").over(order.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.count("*").over(w)})
-    r = r.withColumn("_rank", (F.col("_lt") + F.col("_le") + 1) / 2).withColumn("_t", F.col("_le") - F.col("_lt"))
-    r = r.withColumn("_ties", F.sum(F.col("_t").cast("double") ** 2 - 1).over(w))
+    """Mann-Whitney U of a cluster against the rest of its cell, with tie-corrected sigma: one ranking for all clusters.
+
+    A row's rank is that of its value, from counts by value summed over ranges, so no task ranks a cell; NULLs are equal and last."""
+    counts = df.groupBy(*cell, value).agg(F.count("*").alias("_c"))
+    ran = running(counts, [F.col(c) for c in cell] + [F.col(value).asc_nulls_last()], {"_lt": F.col("_c")}, cell)
+    ranks = written(ran.select(*cell, value, "_c", (F.col("_lt") + (F.col("_c") + 1) / 2).alias("_rank")), "ranks")
+    c = F.col("_c").cast("double")
+    cells = ranks.groupBy(*cell).agg(F.sum("_c").alias("_n"), F.sum(c * (c * c - 1)).alias("_ties"))
     n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
-    g = r.groupBy(*cell, cluster).agg(F.count("*").alias("n1"), F.first("_n").alias("_n"), F.sum("_rank").alias("_r1"), F.first("_ties").alias("_ties")).withColumn("n2", F.col("_n") - F.col("n1"))
+    met = met_by(df.select(*cell, cluster, value), ranks.drop("_c"), [*cell, value])
+    g = beside(met.groupBy(*cell, cluster).agg(F.count("*").alias("n1"), F.sum("_rank").alias("_r1")), cells, cell).withColumn("n2", F.col("_n") - F.col("n1"))
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.when(n > 1, F.col("_ties") / (n * (n - 1))).otherwise(0.0)))
     return g.withColumns({"u1": u1, "sigma": sigma}).withColumns({"u2": n1 * n2 - F.col("u1"), "z": F.when(F.col("sigma") > 0, (F.greatest(F.col("u1"), n1 * n2 - F.col("u1")) - n1 * n2 / 2 - 0.5) / F.col("sigma"))}).drop("_n", "_r1", "_ties")
@@ -131,8 +136,6 @@ def reduced_spread(df: DataFrame, cell: list[str], cluster: str, value: str) ->
     The k-th value of the rest is the value at place k + j of the cell, where j counts the own values v with (values of
     the cell up to v) - (own values up to v) < k. So every cluster is served by the places of its cell's rows, which
     `numbered` gives without a task for a whole cell; counts in an interval come from running sums at its ends."""
-    from plumbline.sources.scratch import numbered, running
-
     rows = numbered(df.where(F.col(value).isNotNull()).select(*cell, cluster, F.col(value).cast("double").alias("_v")), [*[F.col(c) for c in cell], F.col("_v")], "_row")
     starts = rows.groupBy(*cell).agg((F.min("_row") - 1).alias("_s"), F.count("*").alias("_n"))
     rows = rows.join(starts, cell).withColumn("_at", F.col("_row") - F.col("_s"))
