@@ -172,4 +172,4 @@ def dispersion(df: DataFrame, family: list[str], chi: str, least: int = 10) -> D
     """family, n_clusters, phi: median of one-degree chi-square equivalents over its null median, 1 at least; 1 for small families."""
     from plumbline.functions.tails import quantiles
 
-    return quantiles(df, family, chi, {"_m": 0.5}).select(*family, F.col("n").alias("n_clusters"), F.when(F.col("n") >= least, F.greatest(F.lit(1.0), F.col("_m") / 0.454936)).otherwise(1.0).alias("phi"))
+    return quantiles(df, family, chi, {"_m": 0.5}, spread=True).select(*family, F.col("n").alias("n_clusters"), F.when(F.col("n") >= least, F.greatest(F.lit(1.0), F.col("_m") / 0.454936)).otherwise(1.0).alias("phi"))
