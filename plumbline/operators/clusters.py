@@ -11,7 +11,7 @@ from plumbline.sources.scratch import beside, met_by, numbered, running, written
 def g_test(df: DataFrame, cell: list[str], cluster: str, code: str) -> DataFrame:
     """G with Williams' correction of a cluster's code counts against leave-out shares (+0.5), its degrees of freedom and the largest difference."""
     own = df.groupBy(*cell, cluster, code).agg(F.count("*").alias("_o"))
-    codes = own.groupBy(*cell, code).agg(F.sum("_o").alias("_c"))
+    codes = written(own.groupBy(*cell, code).agg(F.sum("_o").alias("_c")), "codes")  # a row a code, of known size, so a short list is broadcast
     clusters = own.groupBy(*cell, cluster).agg(F.sum("_o").alias("n"))
     full = clusters.join(codes, cell).join(own, [*cell, cluster, code], "left").withColumn("_o", F.coalesce("_o", F.lit(0)))
     w = Window.partitionBy(*cell, cluster)
@@ -44,9 +44,9 @@ def rank_sums(df: DataFrame, cell: list[str], cluster: str, value: str) -> DataF
 def share_test(df: DataFrame, cell: list[str], cluster: str, hit) -> DataFrame:
     """Hits of a cluster and the share among the rest of its cell (for a one-sided binomial test)."""
     own = df.groupBy(*cell, cluster).agg(F.count("*").alias("n"), F.count_if(hit).alias("k"))
-    w = Window.partitionBy(*cell)
-    rest_n, rest_k = F.sum("n").over(w) - F.col("n"), F.sum("k").over(w) - F.col("k")
-    return own.withColumns({"rest_n": rest_n, "rest_k": rest_k}).withColumn("rest_share", F.when(F.col("rest_n") > 0, F.col("rest_k") / F.col("rest_n")))
+    cells = df.groupBy(*cell).agg(F.count("*").alias("_n"), F.count_if(hit).alias("_k"))
+    own = beside(own, cells, cell).withColumns({"rest_n": F.col("_n") - F.col("n"), "rest_k": F.col("_k") - F.col("k")}).drop("_n", "_k")
+    return own.withColumn("rest_share", F.when(F.col("rest_n") > 0, F.col("rest_k") / F.col("rest_n")))
 
 
 def busiest_day(df: DataFrame, cell: list[str], cluster: str, day: str, least_others: int = 5) -> DataFrame:

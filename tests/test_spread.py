@@ -84,7 +84,7 @@ def test_digest_deals_rows_to_as_many_tasks_as_read_them(spark, plans):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("name", ["mann_whitney_u", "duration_u", "over_dispersion"])
+@pytest.mark.parametrize("name", ["mann_whitney_u", "duration_u", "over_dispersion", "cluster_p_values"])
 def test_no_task_ranks_a_cell(plans, name):
     assert all("_part" in by + order or "l_suppkey" in by for by, order in windows(plans(name)))
 
