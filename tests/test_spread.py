@@ -95,3 +95,36 @@ def test_nulls_are_equal_and_last_among_ranks(spark):
     rows = [("a", i % 2, v) for i, v in enumerate([3.0, None, 1.0, 3.0, None, 2.0])] + [(None, 7, 1.0)]
     got = {(r["c"], r["k"]): (r["n1"], r["n2"], r["u1"]) for r in clusters.rank_sums(spark.createDataFrame(rows, "c string, k int, v double"), ["c"], "k", "v").collect()}
     assert got == {("a", 0): (3, 3, 3.5 + 5.5 + 1 - 6), ("a", 1): (3, 3, 5.5 + 3.5 + 2 - 6), (None, 7): (1, 0, 0.0)}
+
+
+@pytest.mark.parametrize("name", ["same_season_tail", "conformal_tail"])
+def test_no_task_orders_all_of_a_group(plans, name):
+    assert all("_q" in by + order for by, order in windows(plans(name)))
+
+
+def test_history_is_moved_once_whatever_the_lags(plans):
+    last = plans("history_tail_probability")[-1]
+    (at,) = (i for i, x in enumerate(last.splitlines()) if re.search(r"Exchange hashpartitioning\(l_returnflag#\d+, l_linestatus#\d+, p_brand#\d+, _q#", x))
+    assert "Generate explode" in "\n".join(last.splitlines()[:at])
+
+
+def test_tails_over_many_ranges_equal_counts(spark, monkeypatch):
+    import random
+
+    from plumbline.functions import tails
+
+    monkeypatch.setattr(tails, "RANGE", 7)
+    monkeypatch.setattr(tails, "TASK", 20)
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abc") if i else None, rng.randrange(6), rng.choice([None, float("inf"), -3.0, rng.gauss(0, 1), float(rng.randrange(4))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, t int, v double")
+
+    def want(v, refs):
+        n, ge, le = len(refs), sum(x >= v for x in refs), sum(x <= v for x in refs)
+        return n, round((ge + 1) / (n + 1), 9), round((le + 1) / (n + 1), 9)
+
+    got = {r["id"]: (r["n"], r["upper"] and round(r["upper"], 9), r["lower"] and round(r["lower"], 9)) for r in tails.earlier(df, ["g"], "t", [1, 3], "v").collect()}
+    refs = {i: [x for _, h, u, x in rows if h == g and t - u in (1, 3) and x is not None] for i, g, t, _ in rows}
+    assert got == {i: want(v, refs[i]) if v is not None else (len(refs[i]), None, None) for i, _, _, v in rows}
+    got = {r["id"]: (r["n"], round(r["upper"], 9), round(r["lower"], 9)) for r in tails.out_of_sample(df.where("t > 2 and v is not null"), df.where("t <= 2").select("g", "v"), ["g"], "v").collect()}
+    assert got == {i: want(v, [x for _, h, u, x in rows if h == g and u <= 2 and x is not None]) for i, g, t, v in rows if t > 2 and v is not None}
