@@ -128,3 +128,18 @@ def test_tails_over_many_ranges_equal_counts(spark, monkeypatch):
     assert got == {i: want(v, refs[i]) if v is not None else (len(refs[i]), None, None) for i, _, _, v in rows}
     got = {r["id"]: (r["n"], round(r["upper"], 9), round(r["lower"], 9)) for r in tails.out_of_sample(df.where("t > 2 and v is not null"), df.where("t <= 2").select("g", "v"), ["g"], "v").collect()}
     assert got == {i: want(v, [x for _, h, u, x in rows if h == g and u <= 2 and x is not None]) for i, g, t, v in rows if t > 2 and v is not None}
+
+
+def test_a_sample_is_ranked_from_few_rows_before_it_is_sent(spark, monkeypatch):
+    from plumbline.operators import models
+    from plumbline.sources import scratch
+
+    sizes = []
+    monkeypatch.setattr(models, "written", lambda df, tag: [sizes.append((tag, (out := scratch.written(df, tag)).count())), out][1])
+    df = spark.range(20_000).selectExpr("cast(id as string) id", "id * 2 as x").repartition(16)
+    got = models.sampled(df, "id", 500)
+    want = sorted(range(20_000), key=lambda i: __import__("hashlib").sha256(str(i).encode()).digest()[:8])[:500]
+    assert list(got["id"]) == list(map(str, want))
+    assert [t for t, _ in sizes] == ["candidates", "sample"] and sizes[0][1] < 700 and sizes[1][1] == 500
+    same = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 7)], "id string, x int")
+    assert len(models.sampled(same, "id", 10)) == 10
