@@ -138,7 +138,7 @@ def reduced_spread(df: DataFrame, cell: list[str], cluster: str, value: str) ->
     `numbered` gives without a task for a whole cell; counts in an interval come from running sums at its ends."""
     rows = numbered(df.where(F.col(value).isNotNull()).select(*cell, cluster, F.col(value).cast("double").alias("_v")), [*[F.col(c) for c in cell], F.col("_v")], "_row")
     starts = rows.groupBy(*cell).agg((F.min("_row") - 1).alias("_s"), F.count("*").alias("_n"))
-    rows = rows.join(starts, cell).withColumn("_at", F.col("_row") - F.col("_s"))
+    rows = rows.join(F.broadcast(starts), cell).withColumn("_at", F.col("_row") - F.col("_s"))
     own = Window.partitionBy(*cell, cluster)
     up_to = own.orderBy("_v")
     placed = rows.withColumns({"_le": F.max("_at").over(Window.partitionBy(*cell, "_v")), "_ole": F.count("*").over(up_to.rangeBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(up_to), "n": F.count("*").over(own)}).withColumn("ref_n", F.col("_n") - F.col("n"))

@@ -143,3 +143,7 @@ def test_a_sample_is_ranked_from_few_rows_before_it_is_sent(spark, monkeypatch):
     assert [t for t, _ in sizes] == ["candidates", "sample"] and sizes[0][1] < 700 and sizes[1][1] == 500
     same = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 7)], "id string, x int")
     assert len(models.sampled(same, "id", 10)) == 10
+
+
+def test_rows_meet_their_cells_start_without_a_sort(plans):
+    assert ("l_returnflag",) not in sorted_by(plans("reduced_spread"))
